@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from offerlake.config import PRICING, SKEW, PricingRules, SkewRules
 from offerlake.functions.scores import days_before
 from offerlake.operators.ledger import cash_verdict, observed_price
-from offerlake.operators.skew import SLICE, _same_keys, slice_bounds, slice_of, with_slices
+from offerlake.operators.skew import COLD, SLICE, hot_limit, same_keys, slice_bounds, with_slices
+from offerlake.session import checkpointed
 
 
 # --- ratio gate -------------------------------------------------------------------------
@@ -88,15 +89,15 @@ def _entry_points(prices: np.ndarray, low: float, high: float) -> list[tuple[flo
 
 
 def _slice_starts(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], low: float, high: float
+    hot: DataFrame, keys: Sequence[str], order: Sequence[str], low: float, high: float
 ) -> DataFrame:
     """Base price at the start of every slice of a hot key.
 
     Each slice is summarised by (interval of incoming base, price it ends on);
     walking those few intervals in slice order needs no rows.
     """
-    key_types = ", ".join(f"`{k}` {sliced.schema[k].dataType.simpleString()}" for k in keys)
-    hot = sliced.filter(F.col(SLICE) >= 0).select(*keys, SLICE, *order, F.col("cash_price").cast("double").alias("_p"))
+    key_types = ", ".join(f"`{k}` {hot.schema[k].dataType.simpleString()}" for k in keys)
+    rows = hot.select(*keys, SLICE, *order, F.col("cash_price").cast("double").alias("_p"))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         prices = pdf.sort_values(list(order))["_p"].to_numpy()
@@ -111,7 +112,7 @@ def _slice_starts(
             out[name] = pdf[name].iloc[0]
         return out[[*keys, SLICE, "lo", "hi", "ends"]]
 
-    pieces = hot.groupBy(*keys, SLICE).applyInPandas(summarise, f"{key_types}, {SLICE} int, lo double, hi double, ends double")
+    pieces = rows.groupBy(*keys, SLICE).applyInPandas(summarise, f"{key_types}, {SLICE} int, lo double, hi double, ends double")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         base, rows = np.nan, []
@@ -127,7 +128,7 @@ def _slice_starts(
             out["_h_" + name] = pdf[name].iloc[0]
         return out[[*["_h_" + k for k in keys], "_s", "_start"]]
 
-    renamed = ", ".join(f"`_h_{k}` {sliced.schema[k].dataType.simpleString()}" for k in keys)
+    renamed = ", ".join(f"`_h_{k}` {hot.schema[k].dataType.simpleString()}" for k in keys)
     return pieces.groupBy(*keys).applyInPandas(chain, f"{renamed}, _s int, _start double")
 
 
@@ -144,11 +145,16 @@ def gate_price_ratio(
     """
     low, high = rules.min_ratio_to_previous, rules.max_ratio_to_previous
     keys, order = list(keys), list(order)
-    sliced = with_slices(obs, keys, F.col(order[0]), skew)
-    starts = _slice_starts(sliced, keys, order, low, high)
-    joined = sliced.join(starts, _same_keys(sliced, starts, keys) & (sliced[SLICE] == starts["_s"]), "left").drop(
-        "_s", *["_h_" + k for k in keys]
-    )
+    limit = hot_limit(obs, keys, skew)
+    if limit is None:
+        joined = obs.withColumns({SLICE: F.lit(COLD), "_start": F.lit(None).cast("double")})
+    else:
+        stored = checkpointed(obs)
+        bounds = slice_bounds(stored, keys, F.col(order[0]), limit, skew)
+        sliced = with_slices(stored, bounds, keys, F.col(order[0]))
+        starts = _slice_starts(with_slices(stored, bounds, keys, F.col(order[0]), "inner"), keys, order, low, high)
+        on = same_keys(sliced, starts, keys) & (sliced[SLICE] == starts["_s"])
+        joined = sliced.join(starts, on, "left").drop("_s", *["_h_" + k for k in keys])
     rows = joined.withColumn("_group", F.xxhash64(*keys, SLICE)).repartition("_group")
     rows = rows.withColumn("_p", F.col("cash_price").cast("double")).sortWithinPartitions("_group", *keys, SLICE, *order)
     kept = list(obs.columns)
@@ -253,19 +259,19 @@ def with_market_median(
     """
     keys = ["variant_id"]
     price = observed_price(obs).cast("double")
-    base = obs.withColumn("_p", price).withColumn("_at", F.col("observed_at"))
-    bounds = slice_bounds(base, keys, F.col("_at"), skew)
+    limit = hot_limit(obs, keys, skew)
+    base = (obs if limit is None else checkpointed(obs)).withColumn("_p", price).withColumn("_at", F.col("observed_at"))
     leave = base.filter(F.col("_p") >= rules.floor).select(
         F.col("variant_id"), days_before(F.col("observed_at"), -days).alias("_at"), F.col("_p"), F.lit(2).alias("_kind")
     )
-    enter = base.withColumn("_kind", F.lit(1))
-    events = enter.unionByName(leave, allowMissingColumns=True)
-    cut = F.when(F.col("_bounds").isNull(), -1).otherwise(slice_of(F.col("_at"), F.col("_bounds")))
-    on = _same_keys(events, bounds, keys)
-    sliced = events.join(F.broadcast(bounds), on, "left").withColumn(SLICE, cut).drop("_bounds", "_h_variant_id")
-    hot = events.join(F.broadcast(bounds), on, "inner").withColumn(SLICE, cut)
-    open_at = _open_windows(hot, rules)
-    rows = sliced.withColumn("_count", F.lit(1).cast("bigint")).unionByName(open_at, allowMissingColumns=True)
+    events = base.withColumn("_kind", F.lit(1)).unionByName(leave, allowMissingColumns=True)
+    if limit is None:
+        rows = events.withColumns({SLICE: F.lit(COLD), "_count": F.lit(1).cast("bigint")})
+    else:
+        bounds = slice_bounds(base, keys, F.col("_at"), limit, skew)
+        opened = _open_windows(with_slices(events, bounds, keys, F.col("_at"), "inner"), rules)
+        sliced = with_slices(events, bounds, keys, F.col("_at")).withColumn("_count", F.lit(1).cast("bigint"))
+        rows = sliced.unionByName(opened, allowMissingColumns=True)
     rows = rows.withColumn("_group", F.xxhash64("variant_id", SLICE)).repartition("_group")
     rows = rows.sortWithinPartitions("_group", "variant_id", SLICE, F.when(F.col("_kind") == 0, 0).otherwise(1), "_at", "_kind")
     kept = list(obs.columns)

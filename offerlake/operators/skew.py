@@ -1,11 +1,15 @@
 """Ordered per-key operations that stay spread when one key holds a large share of all rows.
 
 A key is hot when it has more than ``1 / max_hot_keys`` of all rows (and more
-than ``min_rows``).  By counting, at most ``max_hot_keys`` keys can be hot, so
-the table of slice bounds (one short array per hot key) has a fixed size limit
-and is the only thing broadcast here.  Rows of a hot key are cut into slices
-along the ordering column; everything that must cross a slice border is
-carried by one extra row per slice.
+than ``min_rows``).  One count per key, on the key columns alone, tells whether
+there is any; without one the plain window is used.  Otherwise the rows of a
+hot key are cut into slices along the ordering column, and whatever must cross
+a slice border is carried by one small row per slice.
+
+By counting, at most ``max_hot_keys`` keys can be hot, so the table of slice
+bounds (one short array per hot key) has a fixed size limit and is the only
+thing broadcast here.  The input is checkpointed before it is cut, because it
+is then read more than once.
 """
 
 from __future__ import annotations
@@ -17,56 +21,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.config import SKEW, SkewRules
+from offerlake.session import checkpointed
 
 SLICE = "_slice"
+COLD = -1
 _BOUNDS = "_bounds"
 _CARRY = "_carry"
-_COLD = -1
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right["_h_" + k]) for k in keys])
+def hot_limit(df: DataFrame, keys: Sequence[str], rules: SkewRules = SKEW) -> int | None:
+    """Row count above which a key of ``df`` is hot, or None when no key is (one-row probe)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    size = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    limit = max(rules.min_rows, int((size["rows"] or 0) / rules.max_hot_keys))
+    return limit if (size["largest"] or 0) > limit else None
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rules: SkewRules = SKEW) -> DataFrame:
-    """Keys above the hot share; at most ``rules.max_hot_keys`` rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t"))
-    limit = F.greatest(F.lit(rules.min_rows), (total.scalar() / rules.max_hot_keys).cast("bigint"))
-    return counts.filter(F.col("_n") > limit).select(*[F.col(k).alias("_h_" + k) for k in keys])
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe join condition against a table whose keys are prefixed ``_h_``."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right["_h_" + k]) for k in keys])
 
 
-def slice_bounds(df: DataFrame, keys: Sequence[str], lead: Column, rules: SkewRules = SKEW) -> DataFrame:
-    """Approximate quantiles of ``lead`` per hot key: the upper edges of its slices."""
-    hot = hot_keys(df, keys, rules)
+def slice_bounds(df: DataFrame, keys: Sequence[str], lead: Column, limit: int, rules: SkewRules = SKEW) -> DataFrame:
+    """Approximate quantiles of ``lead`` per hot key (at most ``max_hot_keys`` rows)."""
     steps = [i / rules.slices for i in range(1, rules.slices)] or [0.5]
-    rows = df.join(F.broadcast(hot), _same_keys(df, hot, keys), "inner")
-    return rows.groupBy(*["_h_" + k for k in keys]).agg(
-        F.array_distinct(
-            F.percentile_approx(lead, F.array(*[F.lit(s) for s in steps]), F.lit(10 * rules.slices))
-        ).alias(_BOUNDS)
-    )
+    counts = df.groupBy(*[F.col(k).alias("_h_" + k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > limit).drop("_n")
+    rows = df.join(F.broadcast(hot), same_keys(df, hot, keys), "inner")
+    edges = F.percentile_approx(lead, F.array(*[F.lit(s) for s in steps]), F.lit(10 * rules.slices))
+    return rows.groupBy(*["_h_" + k for k in keys]).agg(F.array_distinct(edges).alias(_BOUNDS))
 
 
-def slice_of(lead: Column, bounds: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b < lead))
+def slice_number(lead: Column) -> Column:
+    """Slice of a row joined with its key's bounds; ``COLD`` without bounds."""
+    return F.when(F.col(_BOUNDS).isNull(), COLD).otherwise(F.size(F.filter(_BOUNDS, lambda b: b < lead)))
 
 
-def _sliced(
-    df: DataFrame, keys: Sequence[str], lead: Column, rules: SkewRules
-) -> tuple[DataFrame, DataFrame]:
-    """All rows with their slice (-1 for cold keys), and the rows of hot keys alone."""
-    bounds = slice_bounds(df, keys, lead, rules)
-    drop = [_BOUNDS, *["_h_" + k for k in keys]]
-    on = _same_keys(df, bounds, keys)
-    cut = F.when(F.col(_BOUNDS).isNull(), _COLD).otherwise(slice_of(lead, F.col(_BOUNDS)))
-    everything = df.join(F.broadcast(bounds), on, "left").withColumn(SLICE, cut).drop(*drop)
-    hot_only = df.join(F.broadcast(bounds), on, "inner").withColumn(SLICE, cut).drop(*drop)
-    return everything, hot_only
-
-
-def with_slices(df: DataFrame, keys: Sequence[str], lead: Column, rules: SkewRules = SKEW) -> DataFrame:
-    return _sliced(df, keys, lead, rules)[0]
+def with_slices(df: DataFrame, bounds: DataFrame, keys: Sequence[str], lead: Column, how: str = "left") -> DataFrame:
+    """Add ``_slice``; ``how='inner'`` keeps the rows of hot keys only."""
+    joined = df.join(F.broadcast(bounds), same_keys(df, bounds, keys), how)
+    return joined.withColumn(SLICE, slice_number(lead)).drop(_BOUNDS, *["_h_" + k for k in keys])
 
 
 def with_previous(
@@ -76,36 +70,36 @@ def with_previous(
     values: Mapping[str, Column],
     rules: SkewRules = SKEW,
 ) -> DataFrame:
-    """Add the values of the previous row of the same key (``order`` ascending, first column leads)."""
-    everything, hot_only = _sliced(df, keys, F.col(order[0]), rules)
+    """Add values of the previous row of the same key (``order`` ascending, its first column leads)."""
+    limit = hot_limit(df, keys, rules)
+    if limit is None:
+        frame = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(v).over(frame).alias(n) for n, v in values.items()])
+    df = checkpointed(df)
+    bounds = slice_bounds(df, keys, F.col(order[0]), limit, rules)
     row = F.struct(*[F.col(c) for c in df.columns])
-    tails = hot_only.groupBy(*keys, SLICE).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    next_slice = F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
+    hot = with_slices(df, bounds, keys, F.col(order[0]), "inner")
+    tails = hot.groupBy(*keys, SLICE).agg(F.max_by(row, F.struct(*order)).alias("_row"))
+    following = F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
     carried = (
-        tails.withColumn("_to", next_slice)
+        tails.withColumn("_to", following)
         .filter(F.col("_to").isNotNull())
         .select(*[F.col("_row")[c].alias(c) for c in df.columns], F.col("_to").alias(SLICE), F.lit(0).alias(_CARRY))
     )
-    rows = everything.withColumn(_CARRY, F.lit(1)).unionByName(carried)
+    rows = with_slices(df, bounds, keys, F.col(order[0])).withColumn(_CARRY, F.lit(1)).unionByName(carried)
     frame = Window.partitionBy(*keys, SLICE).orderBy(_CARRY, *order)
     out = rows.select("*", *[F.lag(v).over(frame).alias(n) for n, v in values.items()])
     return out.filter(F.col(_CARRY) == 1).drop(SLICE, _CARRY)
 
 
-def with_running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    lead: Column,
-    amount: Column,
-    alias: str,
-    rules: SkewRules = SKEW,
+def _sliced_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence, lead: Column, amount: Column, alias: str, limit: int, rules: SkewRules
 ) -> DataFrame:
-    """Inclusive running sum per key; ``lead`` must rise with the first ordering column."""
-    everything, hot_only = _sliced(df, keys, lead, rules)
+    bounds = slice_bounds(df, keys, lead, limit, rules)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hot_only.groupBy(*keys, SLICE)
+        with_slices(df, bounds, keys, lead, "inner")
+        .groupBy(*keys, SLICE)
         .agg(F.sum(amount).alias("_sum"))
         .select(
             *[F.col(k).alias("_h_" + k) for k in keys],
@@ -114,24 +108,52 @@ def with_running_sum(
         )
     )
     frame = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = everything.withColumn("_part", F.sum(amount).over(frame))
-    on = _same_keys(rows, offsets, keys) & (rows[SLICE] == offsets["_s"])
-    joined = rows.join(offsets, on, "left")
+    rows = with_slices(df, bounds, keys, lead).withColumn("_part", F.sum(amount).over(frame))
+    joined = rows.join(offsets, same_keys(rows, offsets, keys) & (rows[SLICE] == offsets["_s"]), "left")
     total = F.col("_part") + F.coalesce(F.col("_offset"), F.lit(0))
     return joined.withColumn(alias, total).drop(SLICE, "_part", "_offset", "_s", *["_h_" + k for k in keys])
 
 
-def with_row_number(
+def with_running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     lead: Column,
+    amount: Column,
     alias: str,
     rules: SkewRules = SKEW,
 ) -> DataFrame:
-    """Full ranking per key (every row numbered)."""
-    out = with_running_sum(df, keys, order, lead, F.lit(1), alias, rules)
-    return out.withColumn(alias, F.col(alias).cast("int"))
+    """Inclusive running sum per key; ``lead`` must rise with ``order``."""
+    limit = hot_limit(df, keys, rules)
+    if limit is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(alias, F.sum(amount).over(frame))
+    return _sliced_sum(checkpointed(df), keys, order, lead, amount, alias, limit, rules)
+
+
+def with_row_numbers(
+    df: DataFrame,
+    keys: Sequence[str],
+    orders: Mapping[str, tuple[Sequence[Column | str], Column]],
+    rules: SkewRules = SKEW,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Number every row of each key under several orders: ``{alias: (order, lead)}``.
+
+    ``lead`` is numeric and rises with its order.  ``sizes`` may name a cheaper
+    table with the same key distribution for the hot-key probe.
+    """
+    limit = hot_limit(df if sizes is None else sizes, keys, rules)
+    if limit is None:
+        numbers = {
+            alias: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) for alias, (order, _) in orders.items()
+        }
+        return df.withColumns(numbers)
+    out = checkpointed(df)
+    for alias, (order, lead) in orders.items():
+        out = _sliced_sum(out, keys, order, lead, F.lit(1), alias, limit, rules)
+        out = out.withColumn(alias, F.col(alias).cast("int"))
+    return out
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -68,7 +68,8 @@ VIEWS = {
         SELECT o.*, row_number() OVER (PARTITION BY offer_key ORDER BY observed_at DESC, obs_id DESC) AS rn
         FROM {fx_observations} o""",
     "fx_offers": """
-        SELECT obs_id AS offer_id, offer_key, variant_id, store_id, concat('M', offer_key) AS mapping_id,
+        SELECT obs_id, obs_id * 100000 + store_id AS offer_id, offer_key, variant_id, store_id,
+          concat('M', offer_key) AS mapping_id,
           currency, cash_price, old_price, shipping_cost, free_shipping, coupon_discount, coupon_code,
           CASE WHEN COALESCE(free_shipping, shipping_cost = 0) THEN cash_price
                WHEN shipping_cost IS NOT NULL THEN cash_price + shipping_cost END AS total_price,
@@ -93,13 +94,13 @@ VIEWS = {
         FROM {fx_ranked_observations} WHERE rn = 1""",
     "fx_listings": """
         SELECT mapping_id, variant_id, store_id, offer_key, source_url,
-          CASE WHEN offer_id % 3 = 0 THEN NULL WHEN offer_id % 17 = 0 THEN ''
-               ELSE concat(source_url, '?v=', CAST(offer_id % 7 AS STRING)) END AS direct_product_url,
-          CASE offer_id % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'failed' WHEN 2 THEN 'conflict'
+          CASE WHEN obs_id % 3 = 0 THEN NULL WHEN obs_id % 17 = 0 THEN ''
+               ELSE concat(source_url, '?v=', CAST(obs_id % 7 AS STRING)) END AS direct_product_url,
+          CASE obs_id % 5 WHEN 0 THEN 'verified' WHEN 1 THEN 'failed' WHEN 2 THEN 'conflict'
                WHEN 3 THEN 'legacy_unverified' ELSE 'verified' END AS direct_url_status,
-          CASE WHEN offer_id % 4 = 0 THEN 'product' ELSE 'search' END AS url_type,
-          (offer_id % 13 <> 0) AS active, match_confidence,
-          CASE WHEN offer_id % 6 = 0 THEN NULL ELSE concat('ST', CAST(offer_id % 1000 AS STRING)) END AS store_sku,
+          CASE WHEN obs_id % 4 = 0 THEN 'product' ELSE 'search' END AS url_type,
+          (obs_id % 13 <> 0) AS active, match_confidence,
+          CASE WHEN obs_id % 6 = 0 THEN NULL ELSE concat('ST', CAST(obs_id % 1000 AS STRING)) END AS store_sku,
           observed_at AS direct_url_verified_at
         FROM {fx_offers}""",
     "fx_plans": """
