@@ -13,6 +13,7 @@ from offerlake.sources.fixtures import AS_OF, VIEWS, DriverTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -68,6 +69,7 @@ def check(name: str, sql: str | None = None) -> Callable:
 
     def register(build: Callable[[DriverTables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, folder: plain(build(DriverTables(spark, folder)))
+        MODULES[name] = build.__module__.rpartition(".")[2]
         if sql:
             ORACLES[name] = _with_views(sql)
         return build

@@ -36,7 +36,7 @@ HISTORY = f"""{POINTS},
         max(observed_at) FILTER (price < prev) AS last_drop_at
       FROM walk GROUP BY 1),
     hist AS (
-      SELECT b.*, line, CAST(CAST(CAST(mean AS VARCHAR) AS DECIMAL(18,2)) AS DOUBLE) AS average_90d, round(dev / mean, 4) AS volatility,
+      SELECT b.*, line, floor(mean * 100 + 0.5000001) / 100 AS average_90d, round(dev / mean, 4) AS volatility,
         CASE WHEN dev / mean >= 0.08 THEN 'volatile' WHEN (l - f) / f <= -0.04 THEN 'declining'
              WHEN (l - f) / f >= 0.04 THEN 'rising' ELSE 'stable' END AS trend,
         observation_count >= 2 AND store_count >= 2 AS sufficient
@@ -395,7 +395,7 @@ def served_plans(t: DriverTables) -> DataFrame:
     h AS (SELECT variant_id, min(price) FILTER (observed_at >= {as_of} - INTERVAL 30 DAY) AS lowest_30d, min(price) AS lowest_90d,
         CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(price) AS highest_90d, count(*) AS observation_count, count(DISTINCT store_id) AS store_count FROM o GROUP BY 1),
     i AS (SELECT variant_id, CAST(min(cash_price) AS DOUBLE) AS cur FROM fx_offers GROUP BY 1)
-    SELECT i.variant_id, lowest_30d, lowest_90d, highest_90d, CAST(CAST(CAST(mean AS VARCHAR) AS DECIMAL(18,2)) AS DOUBLE) AS average_90d,
+    SELECT i.variant_id, lowest_30d, lowest_90d, highest_90d, floor(mean * 100 + 0.5000001) / 100 AS average_90d,
       COALESCE(observation_count, 0) AS observation_count, COALESCE(store_count, 0) AS store_count, sparkline,
       CASE WHEN observation_count >= 2 AND store_count >= 2 THEN
         CASE WHEN cur <= lowest_90d * 1.02 THEN 'near_90d_low' WHEN (cur - mean) / mean * 100 <= -7 THEN 'below_90d_average'

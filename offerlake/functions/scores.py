@@ -80,7 +80,8 @@ def score_label(score: Column) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.round(F.greatest(F.lit(low), F.least(F.lit(high), c)), 3)
+    """Bounded and rounded to three places; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.round(F.greatest(F.lit(low), F.least(F.lit(high), c)), 3))
 
 
 def match_score(explicit: Column, confidence: Column) -> Column:

@@ -26,7 +26,9 @@ def _cell(value: object) -> str:
         return str(value)
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         number = float(value)
-        return "nan" if math.isnan(number) else f"{number:.6g}" if abs(number) > 1e9 else f"{number:.6f}"
+        if math.isnan(number):
+            return "nan"
+        return f"{number:.0f}.000000" if number == int(number) else f"{number:.6f}"
     return str(value)
 
 
@@ -66,7 +68,7 @@ def main() -> None:
     spark, con = local_session("8"), database(folder)
     bad = 0
     for name, build in checks.QUERIES.items():
-        if wanted and name not in wanted:
+        if (wanted and name not in wanted) or (modules and not wanted and checks.MODULES[name] not in modules):
             continue
         began = time.time()
         try:
