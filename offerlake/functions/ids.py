@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerlake.functions.numbers import key_text
-from offerlake.functions.text import compact_key, normalized_text
+from offerlake.functions.text import compact_key, let, normalized_text
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 20) -> Column:
@@ -34,9 +34,10 @@ def distinctive_sku(compact: Column) -> Column:
 
 def distinctive_model_token(c: Column) -> Column:
     """Model tokens that point to few products."""
-    compact = compact_key(c)
-    letters = compact.rlike(r"\p{L}")
-    return (F.length(compact) >= 3) & letters & (compact.rlike(r"\p{Nd}") | (F.length(compact) >= 5))
+    return let(
+        compact_key(c),
+        lambda k: (F.length(k) >= 3) & k.rlike(r"\p{L}") & (k.rlike(r"\p{Nd}") | (F.length(k) >= 5)),
+    )
 
 
 def identity_key(gtin: Column, brand: Column, sku: Column, store_id: Column, url: Column) -> Column:

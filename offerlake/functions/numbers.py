@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlake.functions.text import ascii_digits, normalized_text, squeeze
+from offerlake.functions.text import ascii_digits, let, normalized_text, squeeze, strip
 
 # Words that decide the availability class, in order of precedence.
 AVAILABILITY_WORDS = (
@@ -34,8 +34,11 @@ def parsed_number(c: Column) -> Column:
     ``1.234,5`` and ``1,234.5`` are 1234.5; ``1,5`` is 1.5; ``12.500`` is 12500;
     digits separated by blanks are joined.
     """
-    raw = F.regexp_extract(ascii_digits(c.cast("string")), r"(?U)[-+]?[0-9][0-9\s,٬.٫]*", 0)
-    raw = F.translate(F.replace(raw, F.lit(" "), F.lit("")), "٬٫", ",.")
+    found = F.regexp_extract(ascii_digits(c.cast("string")), r"(?U)[-+]?[0-9][0-9\s,٬.٫]*", 0)
+    return let(F.translate(F.replace(found, F.lit(" "), F.lit("")), "٬٫", ",."), _from_separators)
+
+
+def _from_separators(raw: Column) -> Column:
     no_commas = F.replace(raw, F.lit(","), F.lit(""))
     no_dots = F.replace(raw, F.lit("."), F.lit(""))
     comma_to_dot = F.replace(raw, F.lit(","), F.lit("."))
@@ -48,19 +51,17 @@ def parsed_number(c: Column) -> Column:
         .when(raw.rlike(r"\..*\.") | raw.rlike(r"[^.]\.[^.]{3}\z"), no_dots)
         .otherwise(raw)
     )
-    return F.regexp_replace(plain, r"(?U)\A\s+|\s+\z", "").try_cast("double")
+    return strip(plain).try_cast("double")
 
 
 def parsed_price(c: Column) -> Column:
     """A positive amount rounded to two places, else NULL."""
-    value = parsed_number(c)
-    return F.when(value > 0, F.round(value, 2))
+    return let(parsed_number(c), lambda v: F.when(v > 0, F.round(v, 2)))
 
 
 def parsed_money(c: Column) -> Column:
     """A non-negative amount rounded to two places, else NULL."""
-    value = parsed_number(c)
-    return F.when(value >= 0, F.round(value, 2))
+    return let(parsed_number(c), lambda v: F.when(v >= 0, F.round(v, 2)))
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:
@@ -71,23 +72,28 @@ def _mentions(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def currency_code(c: Column, default: str = "EGP") -> Column:
-    text, raw = normalized_text(c), F.coalesce(c, F.lit(""))
-    chosen = None
-    for code, words, sign in CURRENCY_MARKERS:
-        hit = _mentions(text, words)
-        if sign:
-            hit = hit | raw.contains(sign)
-        chosen = F.when(hit, code) if chosen is None else chosen.when(hit, code)
-    return chosen.otherwise(default)
+    def choose(text: Column) -> Column:
+        chosen = None
+        for code, words, sign in CURRENCY_MARKERS:
+            hit = _mentions(text, words)
+            if sign:
+                hit = hit | F.coalesce(c, F.lit("")).contains(sign)
+            chosen = F.when(hit, code) if chosen is None else chosen.when(hit, code)
+        return chosen.otherwise(default)
+
+    return let(normalized_text(c), choose)
 
 
 def availability_class(c: Column) -> Column:
     """out_of_stock, limited, preorder, available, unknown; NULL for empty text."""
-    text = normalized_text(c)
-    chosen = F.when(text == "", F.lit(None).cast("string"))
-    for label, words in AVAILABILITY_WORDS:
-        chosen = chosen.when(_mentions(text, words), label)
-    return chosen.otherwise("unknown")
+
+    def choose(text: Column) -> Column:
+        chosen = F.when(text == "", F.lit(None).cast("string"))
+        for label, words in AVAILABILITY_WORDS:
+            chosen = chosen.when(_mentions(text, words), label)
+        return chosen.otherwise("unknown")
+
+    return let(normalized_text(c), choose)
 
 
 def import_currency(currency: Column, price_text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +49,16 @@ EVIDENCE_STOPWORDS = (
 UNIT_SUFFIX = r"^(\d+(?:\.\d+)?)(?:gb|tb|mb|kg|g|l|ml|w|inch|inches|hz|cm|mm)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def strip(c: Column) -> Column:
+    """Trim every kind of white space, not blanks alone."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def ascii_digits(c: Column) -> Column:
     return F.translate(c, LOCAL_DIGITS, ASCII_DIGITS)
 
@@ -59,8 +69,11 @@ def nfkc(c: Column) -> Column:
     Spark has no normalisation function; the ICU library that ships with it is
     reached through the SQL function ``reflect``, so no Python worker is needed.
     """
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+
+    def composed(v: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), v, F.lit(True))
+
+    return let(c, lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), composed(v)).otherwise(v))
 
 
 def squeeze(c: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerlake.functions.text import let
+
 # Query keys that only track visits.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_", "source")
 
@@ -85,7 +85,10 @@ def absolute_url(url: Column, base: Column) -> Column:
 
 def normalized_url(url: Column, base: Column | None = None) -> Column:
     """Lower-case host, no default port, squeezed path without a trailing slash, no fragment."""
-    full = url if base is None else absolute_url(url, base)
+    return let(url if base is None else absolute_url(url, base), _normalized)
+
+
+def _normalized(full: Column) -> Column:
     bare = F.regexp_replace(path(full), ";[^/]*$", "")
     q = query(full)
     return F.concat(
@@ -105,7 +108,10 @@ def page_url(url: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Product URL identity: tracking keys dropped, other query pairs kept and sorted."""
-    clean = F.trim(url)
+    return let(F.trim(url), _canonical)
+
+
+def _canonical(clean: Column) -> Column:
     decoded = F.regexp_replace(path(clean), r"\+", "%2B")
     decoded = F.coalesce(F.try_url_decode(decoded), path(clean))
     pairs = F.transform(
@@ -183,10 +189,8 @@ def is_product_url(url: Column, product_sitemap: Column | None = None) -> Column
         & ~lowered.rlike(endings)
         & ~F.arrays_overlap(parts, F.array(*[F.lit(p) for p in REJECTED_PATH_PARTS]))
     )
-    title = slug_title(url)
     descriptive = (
-        (F.length(title) >= 10)
-        & title.rlike(r"(?i)[a-z\u0600-\u06FF]")
+        let(slug_title(url), lambda t: (F.length(t) >= 10) & t.rlike(r"(?i)[a-z\u0600-\u06FF]"))
         & F.element_at(F.split(path(url), "/"), -1).rlike(r"[0-9_-]")
     )
     likely = F.arrays_overlap(parts, F.array(*[F.lit(p) for p in PRODUCT_PATH_HINTS])) | descriptive
