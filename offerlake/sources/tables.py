@@ -37,17 +37,16 @@ def cast_seed(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     return df.withColumns({name: SCHEMA_CASTS[kind](F.col(name)) for name, kind in spec.items()})
 
 
-def read_product_export(spark: SparkSession, path: str) -> DataFrame:
+def read_product_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """JSON or JSON-lines product records as one VARIANT column ``record``.
 
     A document may be a record, an array of records, or an object that wraps
-    the array under ``records``, ``rows``, ``results`` or ``data``.
+    the array under ``records``, ``rows``, ``results`` or ``data``.  JSON lines
+    are read line by line, so a large file is split; a plain document is read whole.
     """
-    whole = spark.read.text(path, wholetext=True).withColumn("doc", F.try_parse_json("value"))
-    lines = whole.filter(F.col("doc").isNull()).select(
-        F.try_parse_json(F.explode(F.split("value", r"\r?\n"))).alias("doc")
-    )
-    return unwrap_records(whole.select("doc").unionByName(lines).filter(F.col("doc").isNotNull()))
+    raw = spark.read.text(path) if lines else spark.read.text(path, wholetext=True)
+    docs = raw.select(F.try_parse_json("value").alias("doc"))
+    return unwrap_records(docs.filter(F.col("doc").isNotNull()))
 
 
 def unwrap_records(docs: DataFrame) -> DataFrame:
