@@ -11,6 +11,7 @@ from offerlake.config import MATCHING, MatchRules
 from offerlake.functions import ids, specs, text, urls
 from offerlake.functions.similarity import sequence_ratio
 from offerlake.operators.skew import earliest_per, top_per
+from offerlake.session import checkpointed
 
 # Model words that separate variants, and colour words.
 DECISIVE_WORDS = ("pro", "max", "plus", "ultra", "mini", "air", "fe")
@@ -81,26 +82,24 @@ def match_exact(items: DataFrame, keys: DataFrame) -> DataFrame:
     return best.select("item_id", "b.variant_id", "b.score", method.alias("method"))
 
 
-def substrings_of_lengths(c: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``c`` with the given lengths."""
-    cut = F.transform(
-        F.filter(lengths, lambda n: n <= F.length(c)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)),
-    )
-    return F.array_distinct(F.flatten(cut))
-
-
 def contained_keys(texts: DataFrame, keys: DataFrame, id_column: str = "item_id") -> DataFrame:
     """``(id, key)`` for every key that occurs inside the compact text of a row.
 
-    Texts are cut into substrings of the lengths that keys really have, so
-    containment becomes an equality join instead of comparing every text with
-    every key.  ``texts`` has ``compact``; equal texts are cut once.
+    Containment becomes two equality joins: the windows of a text as long as
+    the shortest key meet the (prefix, length) pairs that keys really have,
+    and only those places are cut to full length and looked up.  No text meets
+    every key, and equal texts are cut once.
     """
-    lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths")).withColumn("_one", F.lit(1))
-    distinct = texts.select("compact").distinct().withColumn("_one", F.lit(1)).join(lengths, "_one")
-    pieces = distinct.select("compact", F.explode(substrings_of_lengths(F.col("compact"), F.col("lengths"))).alias("key"))
-    hits = pieces.join(keys.select("key").distinct(), "key")
+    known = keys.select("key").distinct()
+    shortest = F.broadcast(known.agg(F.min(F.length("key")).alias("_n")).withColumn("_one", F.lit(1)))  # one row
+    cut = known.withColumn("_one", F.lit(1)).join(shortest, "_one")
+    heads = cut.select(F.substr("key", F.lit(1), F.col("_n")).alias("_head"), F.length("key").alias("_len")).distinct()
+    distinct = texts.select("compact").distinct().withColumn("_one", F.lit(1)).join(shortest, "_one")
+    places = F.sequence(F.lit(1), F.length("compact") - F.col("_n") + 1)
+    windows = distinct.filter(F.length("compact") >= F.col("_n")).select("compact", "_n", F.explode(places).alias("_at"))
+    windows = windows.select("compact", "_at", F.substr("compact", F.col("_at"), F.col("_n")).alias("_head"))
+    spots = windows.join(heads, "_head").select("compact", F.substr("compact", F.col("_at"), F.col("_len")).alias("key"))
+    hits = spots.distinct().join(known, "key")
     return texts.select(id_column, "compact").join(hits, "compact").select(id_column, "key")
 
 
@@ -141,6 +140,28 @@ def models_in_text(items: DataFrame, models: DataFrame) -> DataFrame:
     return compact_hits.unionByName(token_hits.select("item_id", "model")).distinct()
 
 
+def _agreeing_pairs(hits: DataFrame, target: DataFrame) -> DataFrame:
+    """Texts with the variants of their model whose code and size agree, by equality joins on both."""
+    t = target.withColumn("_size", F.col("t_storage_gb").cast("double"))
+    step = lambda c: F.floor(c * 100)
+    sized = F.explode(F.array_distinct(F.flatten(F.transform("_sizes", lambda v: F.array(step(v) - 1, step(v), step(v) + 1)))))
+    coded, open_code = hits.filter("_code <> ''"), hits.filter("_code = ''")
+    with_size = open_code.filter(F.size("_sizes") > 0)
+    by_size = with_size.withColumn("_step", sized).join(t.filter("_size IS NOT NULL").withColumn("_step", step(F.col("_size"))), ["model", "_step"])
+    agrees = (F.size("_sizes") == 0) | F.col("_size").isNull() | F.exists("_sizes", lambda v: F.abs(v - F.col("_size")) < 0.01)
+    parts = [
+        coded.join(t.filter("_gtin <> ''").withColumn("_code", F.col("_gtin")), ["model", "_code"]),
+        coded.join(t.filter("_gtin = ''"), "model"),
+        by_size.drop("_step"),
+        with_size.join(t.filter("_size IS NULL"), "model"),
+        open_code.filter(F.size("_sizes") == 0).join(t, "model"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter(agrees).drop("_size").dropDuplicates(["doc", "t_variant_id", "model"])
+
+
 def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules = MATCHING) -> DataFrame:
     """A distinctive model in the text whose brand or model anchor is present and whose specs leave one variant.
 
@@ -158,9 +179,11 @@ def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules =
         F.coalesce("sku", F.lit("")).alias("sku"),
     )
     content = ["_s", "title", "item_brand", "gtin", "sku"]
-    docs = docs.withColumn("doc", F.sha2(F.concat_ws("\x1f", *content), 256))
+    # Normalised texts and their model hits are read several times below: keep them instead of recomputing.
+    docs = checkpointed(docs.withColumn("doc", F.sha2(F.concat_ws("\x1f", *content), 256)))
     palette = F.array(*[F.lit(c) for c in COLOR_WORDS])
-    distinct = docs.select("doc", *content).dropDuplicates(["doc"]).withColumns(
+    distinct = docs.select("doc", *content).dropDuplicates(["doc"])
+    distinct = distinct.withColumns(
         {
             "compact": F.regexp_replace("_s", r"[^a-z0-9\u0600-\u06FF]+", ""),
             "item_tokens": text.tokens(F.col("_s")),
@@ -168,9 +191,11 @@ def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules =
             "_code": text.normalized_text(F.col("gtin")),
         }
     )
+    # Catalogue variants carry no store code, so an item's code alone contradicts none of them.
+    coded = F.col("sku") != "" if "store_sku" in variants.columns else F.lit(False)
     tells = (
         (F.col("gtin") != "")
-        | (F.col("sku") != "")
+        | coded
         | (F.size("_sizes") > 0)
         | (F.size(specs.ram_values(F.col("title"))) > 0)
         | F.arrays_overlap(text.tokens(F.col("title")), palette)
@@ -188,6 +213,7 @@ def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules =
         "_anchored",
         F.exists(F.array_intersect(text.tokens(F.col("model")), F.col("item_tokens")), ids.distinctive_model_token),
     )
+    hits = checkpointed(hits)
     brand_tokens = text.tokens(F.col("_brand"))
     brand_ok = (F.col("item_brand") == F.col("_brand")) | (
         (F.size(brand_tokens) > 0) & (F.size(F.array_except(brand_tokens, F.col("item_tokens"))) == 0)
@@ -196,11 +222,7 @@ def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules =
     vague = hits.filter(~F.col("_tells"))
     by_model = vague.filter("_anchored").join(target.groupBy("model").agg(*ends), "model")
     by_brand = vague.filter("NOT _anchored").join(target.groupBy("model", "_brand").agg(*ends), "model").filter(brand_ok)
-    size = F.col("t_storage_gb").cast("double")
-    agrees = ((F.col("_code") == "") | (F.col("_gtin") == "") | (F.col("_code") == F.col("_gtin"))) & (
-        (F.size("_sizes") == 0) | size.isNull() | F.exists("_sizes", lambda v: F.abs(v - size) < 0.01)
-    )
-    telling = hits.filter("_tells").join(target, "model").filter(agrees & (F.col("_anchored") | brand_ok))
+    telling = _agreeing_pairs(hits.filter("_tells"), target).filter(F.col("_anchored") | brand_ok)
     safe = score_pairs(telling, ratios=False).filter(F.col("score") > rules.conflict)
     pairs = (
         by_model.select("doc", "_low", "_high")

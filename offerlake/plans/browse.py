@@ -86,7 +86,7 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int =
     """One page with ``total`` and ``has_more``; only ``offset + limit`` rows are ever sorted together."""
     total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
     rows = df.orderBy(*order).limit(offset + limit).offset(offset).withColumn("_one", F.lit(1))
-    joined = rows.join(total, "_one").drop("_one")
+    joined = rows.join(F.broadcast(total), "_one").drop("_one")
     return joined.withColumn("has_more", F.col("total") > offset + limit)
 
 

@@ -74,7 +74,7 @@ def supersede_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     active = runs.filter(F.col("status").isin("created", "enqueuing", "queued", "running"))
     keeper = active.agg(F.min_by("run_id", F.struct(-F.coalesce("completed", F.lit(0)), F.col("run_id"))).alias("keeper_id"))
     rows = tasks.join(active.select("run_id"), "run_id", "left_semi").withColumn("_one", F.lit(1)).join(
-        keeper.withColumn("_one", F.lit(1)), "_one"
+        F.broadcast(keeper.withColumn("_one", F.lit(1))), "_one"
     ).drop("_one")
     internal = rows.filter(
         (F.col("run_id") == F.col("keeper_id")) & (F.col("status") == "failed") & F.col("error_code").startswith("internal_")
