@@ -163,8 +163,7 @@ def host_allowed(url: Column, hosts: Column, when_empty: bool = True) -> Column:
 
 
 def decoded_path(url: Column) -> Column:
-    raw = path(url)
-    return F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), raw)
+    return let(path(url), lambda p: F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p))
 
 
 def slug_title(url: Column) -> Column:

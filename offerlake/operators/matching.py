@@ -170,26 +170,36 @@ def match_brand_model(items: DataFrame, variants: DataFrame, rules: MatchRules =
     model and brand); only telling texts meet the variants, and only those
     whose codes and sizes agree are scored.
     """
+    # Equal contents are found on the raw columns, so each text is normalised once and after the shuffle.
     docs = items.select(
         "item_id",
-        searchable(F.col("title"), F.col("normalized_url")).alias("_s"),
-        text.normalized_text(F.col("title")).alias("title"),
-        text.normalized_text(F.col("brand")).alias("item_brand"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.regexp_replace(F.coalesce("normalized_url", F.lit("")), "^[^:/]*://[^/?#]*", "").alias("_path"),
+        F.coalesce("brand", F.lit("")).alias("brand"),
         F.coalesce("gtin", F.lit("")).alias("gtin"),
         F.coalesce("sku", F.lit("")).alias("sku"),
     )
-    content = ["_s", "title", "item_brand", "gtin", "sku"]
-    # Normalised texts and their model hits are read several times below: keep them instead of recomputing.
-    docs = checkpointed(docs.withColumn("doc", F.sha2(F.concat_ws("\x1f", *content), 256)))
+    content = ["title", "_path", "brand", "gtin", "sku"]
+    docs = docs.withColumn("doc", F.sha2(F.concat_ws("\x1f", *content), 256))
     palette = F.array(*[F.lit(c) for c in COLOR_WORDS])
-    distinct = docs.select("doc", *content).dropDuplicates(["doc"])
-    distinct = distinct.withColumns(
-        {
-            "compact": F.regexp_replace("_s", r"[^a-z0-9\u0600-\u06FF]+", ""),
-            "item_tokens": text.tokens(F.col("_s")),
-            "_sizes": specs.storage_values(F.col("title")),
-            "_code": text.normalized_text(F.col("gtin")),
-        }
+    distinct = docs.select("doc", *content).distinct().select(
+        "doc",
+        searchable(F.col("title"), F.concat(F.lit("http://host"), F.col("_path"))).alias("_s"),
+        text.normalized_text(F.col("title")).alias("title"),
+        text.normalized_text(F.col("brand")).alias("item_brand"),
+        "gtin",
+        "sku",
+    )
+    # The normalised texts and their model hits are read several times below: keep them instead of recomputing.
+    distinct = checkpointed(
+        distinct.withColumns(
+            {
+                "compact": F.regexp_replace("_s", r"[^a-z0-9\u0600-\u06FF]+", ""),
+                "item_tokens": text.tokens(F.col("_s")),
+                "_sizes": specs.storage_values(F.col("title")),
+                "_code": text.normalized_text(F.col("gtin")),
+            }
+        )
     )
     # Catalogue variants carry no store code, so an item's code alone contradicts none of them.
     coded = F.col("sku") != "" if "store_sku" in variants.columns else F.lit(False)
