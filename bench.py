@@ -14,7 +14,7 @@ HEADLINE = (
     "offer_summary", "public_cash_offers", "current_offer_projection", "ledger_change_types", "price_ratio_gate",
     "market_guard_replay", "market_guard_batch", "price_history", "store_quality", "decision_scores", "mode_orders",
     "purchase_decisions", "ranked_plans", "coverage_ledger", "priced_directory", "identity_clusters", "exact_matches",
-    "sku_in_text_matches", "brand_model_matches", "smart_search", "popularity_windows", "run_counters", "normalized_text",
+    "sku_in_text_matches", "smart_search", "popularity_windows", "run_counters", "normalized_text",
 )
 
 

@@ -58,17 +58,6 @@ def sku_in_text_matches(t: DriverTables) -> DataFrame:
     return matching.match_sku_in_text(items(t), matching.variant_keys(t.fx_variants))
 
 
-BRAND_MODEL = f"""
-    it AS (SELECT {ITEM_ID} AS iid, * FROM fx_items),
-    live AS (SELECT * FROM fx_variants WHERE {LIVE}),
-    heads AS (SELECT DISTINCT title, model, brand FROM (SELECT i.title, v.model, v.brand FROM (SELECT DISTINCT title, true_variant FROM fx_items) i
-        JOIN fx_variants v ON v.variant_id = i.true_variant)),
-    caps AS (SELECT DISTINCT title, model, brand, TRY_CAST(regexp_extract(title, '(\\d+)\\s*GB', 1) AS INT) AS cap FROM heads),
-    pairs AS (SELECT title, v.variant_id, CASE WHEN v.gtin IS NOT NULL THEN v.gtin END AS vg FROM caps c JOIN live v ON v.model = c.model
-        AND ((v.brand = c.brand) OR length(split_part(v.model, ' ', 1)) >= 5 OR length(split_part(v.model, ' ', 2)) >= 5)
-        AND (cap IS NULL OR cap = v.storage_gb))"""
-
-
 @check("brand_model_matches")
 def brand_model_matches(t: DriverTables) -> DataFrame:
     return matching.match_brand_model(items(t), t.fx_variants)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -656,7 +654,3 @@ def verified_presence(presence: DataFrame, products: DataFrame) -> DataFrame:
     trusted = F.col("match_confidence").isin(*TRUSTED_CONFIDENCE) & F.col("review_status").isin(*READY_REVIEW)
     direct = F.col("link_type").isin(*DIRECT_LINK) & proven(F.col("brand")) & proven(F.col("model")) & F.coalesce(all_specs, F.lit(True))
     return rows.filter(trusted & (F.col("link_type").isin(*FEED_LINK) | direct)).drop("_seen")
-
-
-def first_matches(ranked: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
-    return earliest_per(ranked, list(keys), ["rank"])
