@@ -34,7 +34,7 @@ class NearDuplicates:
     bands: int = 32
     rows: int = 4
     batch: int = 16
-    miss: float = 1e-6
+    miss: float = 1e-4
     block: int = 1024
 
     @property
@@ -197,23 +197,23 @@ class NearDuplicates:
     def rivals(self, members: DataFrame, labels: DataFrame, signatures: DataFrame, width: int) -> DataFrame:
         """Surviving pairs inside a bucket that no link connects yet, other than those with its hub.
 
-        ``members`` is ``(key, hub, size, id)``.  Members outside the hub's
+        ``members`` is ``(key, band, hub, size, id)``.  Members outside the hub's
         component are the bucket's queries; they meet all its members in blocks
-        of ``block`` rows, and only pairs that the signatures allow come out.  Per
-        query and component the ``width`` best pairs are given; ``more`` says
-        that others were left for the next round.
+        of ``block`` rows, and only pairs that the signatures allow come out, each
+        from the first band that both share.  Per query and block the ``width``
+        best pairs are given; ``more`` says that others were left for the next round.
         """
         label = lambda id_: labels.select(F.col("id").alias(id_), F.col("component").alias(f"{id_}_label"))
         large = members.filter("size > 2")
         named = large.join(label("id"), "id", "left").join(label("hub"), "hub", "left")
-        named = named.select("key", "hub", "size", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
+        named = named.select("key", "band", "hub", "size", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
         open_keys = named.filter("label != main").select("key").distinct()
         signed = named.filter("id != hub").join(open_keys, "key", "left_semi").join(signatures, "id")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
         mine = signed.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), "id", "label", "signature")
         asking = signed.filter("label != main").select(
             F.col("key").alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("slice"),
-            F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("x"),
+            "band", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("x"),
         )
         least, kind = self.least_matches(), members.schema["id"].dataType.simpleString()
 
@@ -231,11 +231,13 @@ class NearDuplicates:
                     same += (r[at, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
                     good = same >= lowest
                     at, to, same = at[good], to[good], same[good]
-                found.append(pd.DataFrame({"a": r_ids[at], "b": m_ids[to], "b_label": m_labels[to], "same": same}))
+                shared = (r[at].reshape(-1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
+                good = shared.argmax(1) == part["band"].iloc[0]
+                found.append(pd.DataFrame({"a": r_ids[at[good]], "b": m_ids[to[good]], "same": same[good]}))
             if not found or not sum(map(len, found)):
                 return pd.DataFrame({"a": [], "b": [], "more": []})
-            pairs = pd.concat(found).sort_values(["a", "b_label", "same", "b"], ascending=[True, True, False, True])
-            rank = pairs.groupby(["a", "b_label"]).cumcount()
+            pairs = pd.concat(found).sort_values(["a", "same", "b"], ascending=[True, False, True])
+            rank = pairs.groupby("a").cumcount()
             pairs["more"] = rank == width
             return pairs.loc[rank <= width, ["a", "b", "more"]]
 
@@ -264,18 +266,18 @@ class NearDuplicates:
                 for i in range(0, len(batch), 4096):
                     part = batch.iloc[i : i + 4096]
                     keys = self.band_keys(_rows(part["signature"], np.uint32))
-                    yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), self.bands)})
+                    yield pd.DataFrame({"key": keys.ravel(), "band": np.tile(np.arange(self.bands, dtype=np.int32), len(part)), "id": np.repeat(part["id"].to_numpy(), self.bands)})
 
         kind = heads.schema["id"].dataType.simpleString()
-        banded = signatures.select("id", "signature").mapInPandas(run, f"key bigint, id {kind}")
+        banded = signatures.select("id", "signature").mapInPandas(run, f"key bigint, band int, id {kind}")
         hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-        members = stored(banded.join(hubs, "key").select("key", "hub", "size", "id"), "members")
+        members = stored(banded.join(hubs, "key").select("key", "band", "hub", "size", "id"), "members")
         # equal sets, and the sets of one id, are links without any comparison
         own = usable.select("set_key", "doc_id").join(heads, "set_key").filter("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         stars = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = stored(self.verified(docs, stored(self.likely(stars, signatures), "pairs")), "links")
         labels = connected_components(links)
-        width = 2
+        width = 1
         while True:
             found = stored(self.rivals(members, labels, signatures, width), "rivals")
             if found.isEmpty():
