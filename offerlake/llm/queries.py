@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from offerlake.llm.common import load
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.sharding import sharded_documents, text_bytes
+from offerlake.llm.topk import ThresholdTopK
+from offerlake.llm.vectors import usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +57,19 @@ def external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    "op3_threshold_top_k",
+    """
+    WITH valid AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+               FROM valid q JOIN valid c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def threshold_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    whole = usable(load(spark, folder, "embeddings")).select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
+    return ThresholdTopK(k=20).search(whole, whole.filter("vec_id % 20 = 0"))
