@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.common import load
 from offerlake.llm.minhash import NearDuplicates
+from offerlake.llm.pieces import ChunkedPieces
 from offerlake.llm.sharding import sharded_documents, text_bytes
 from offerlake.llm.topk import ThresholdTopK
 from offerlake.llm.vectors import usable
+from offerlake.llm.warc import Archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +76,27 @@ def external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 def threshold_top_k(spark: SparkSession, folder: str) -> DataFrame:
     whole = usable(load(spark, folder, "embeddings")).select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
     return ThresholdTopK(k=20).search(whole, whole.filter("vec_id % 20 = 0"))
+
+
+@query(
+    "op4_warc_index_merge",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS x FROM p),
+    b AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 40), lambda i: right('000' || bin(CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 1) AS INTEGER)), 4)), 'string_agg', '') AS bits FROM h),
+    d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+          + 16 * CAST(substr(bits, CAST(5 * i AS INTEGER) + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * i AS INTEGER) + 2, 1) AS INTEGER)
+          + 4 * CAST(substr(bits, CAST(5 * i AS INTEGER) + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * i AS INTEGER) + 4, 1) AS INTEGER)
+          + CAST(substr(bits, CAST(5 * i AS INTEGER) + 5, 1) AS INTEGER), 1)), 'string_agg', '') AS payload_digest FROM b)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last THEN last END AS refers_to
+    FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+    """,
+)
+def warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return Archives().captured(load(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_sentencepiece_chunks")
+def sentencepiece_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return ChunkedPieces(public_tokenizers.path("piece_bpe_32k.model")).digests(load(spark, folder, "documents"))
