@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.common import load
 from offerlake.llm.minhash import NearDuplicates
+from offerlake.llm.packing import CuttingStock
 from offerlake.llm.pieces import ChunkedPieces
 from offerlake.llm.sharding import sharded_documents, text_bytes
 from offerlake.llm.topk import ThresholdTopK
@@ -100,3 +101,9 @@ def warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sentencepiece_chunks")
 def sentencepiece_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ChunkedPieces(public_tokenizers.path("piece_bpe_32k.model")).digests(load(spark, folder, "documents"))
+
+
+@query("op8_cutting_stock_packing")
+def cutting_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = CuttingStock(public_tokenizers.path("word_bpe_49k.json")).packed(load(spark, folder, "documents"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
