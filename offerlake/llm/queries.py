@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlake.llm.ann import PostingLists
 from offerlake.llm.common import load
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
@@ -107,3 +108,9 @@ def sentencepiece_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def cutting_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = CuttingStock(public_tokenizers.path("word_bpe_49k.json")).packed(load(spark, folder, "documents"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_posting_list_search")
+def posting_list_search(spark: SparkSession, folder: str) -> DataFrame:
+    whole = usable(load(spark, folder, "embeddings"), zero=False)
+    return PostingLists().search(whole, whole.filter("vec_id % 100 = 0"), k=10)
