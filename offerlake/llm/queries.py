@@ -13,6 +13,7 @@ from offerlake.llm.common import load
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
 from offerlake.llm.pieces import ChunkedPieces
+from offerlake.llm.pii import PersonalData
 from offerlake.llm.sharding import sharded_documents, text_bytes
 from offerlake.llm.topk import ThresholdTopK
 from offerlake.llm.vectors import usable
@@ -114,3 +115,8 @@ def cutting_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
 def posting_list_search(spark: SparkSession, folder: str) -> DataFrame:
     whole = usable(load(spark, folder, "embeddings"), zero=False)
     return PostingLists().search(whole, whole.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("op5_crf_personal_data")
+def crf_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return PersonalData.trained().report(load(spark, folder, "documents"))
