@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.ann import PostingLists
-from offerlake.llm.common import load
+from offerlake.llm.common import checksum, load
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
 from offerlake.llm.pieces import ChunkedPieces
 from offerlake.llm.pii import PersonalData
+from offerlake.llm.quality import PassageAttention
 from offerlake.llm.sharding import sharded_documents, text_bytes
 from offerlake.llm.topk import ThresholdTopK
+from offerlake.llm.toxicity import FactorizationMachine
 from offerlake.llm.vectors import usable
 from offerlake.llm.warc import Archives
 
@@ -120,3 +122,19 @@ def posting_list_search(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_crf_personal_data")
 def crf_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return PersonalData.trained().report(load(spark, folder, "documents"))
+
+
+@query("op6_passage_attention")
+def passage_attention(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = load(spark, folder, "documents"), checksum("doc_id") % 5 == 0
+    model = PassageAttention().fitted(docs, load(spark, folder, "labels"), "quality", ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op9_factorization_machine")
+def factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = load(spark, folder, "documents"), checksum("doc_id") % 3 == 1
+    model = FactorizationMachine().fitted(docs, load(spark, folder, "labels"), "toxic", ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
