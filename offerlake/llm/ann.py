@@ -35,7 +35,7 @@ class PostingLists:
     near: float = 0.05
     copies: int = 3
     reach: float = 0.3
-    spare: int = 4
+    spare: int = 32
     block: int = 4096
     degree: int = 16
     beam: int = 384
@@ -50,9 +50,10 @@ class PostingLists:
         x = np.array([r["v"] for r in picked], dtype=np.float64)
         if not len(x):
             return np.zeros((0, 1))
-        k = int(np.clip(rows.count() // self.list_rows, 1, min(self.lists, len(np.unique(x, axis=0)))))
+        different = np.unique(x, axis=0)
+        k = int(np.clip(rows.count() // self.list_rows, 1, min(self.lists, len(different))))
         rng = np.random.default_rng(self.seed)
-        c = x[rng.choice(len(x), k, replace=False)].copy()
+        c = different[rng.choice(len(different), k, replace=False)]
         weight = np.zeros(k)
         for _ in range(self.rounds):
             square = _squares(x, c)

@@ -49,7 +49,8 @@ class ChunkedPieces:
         """Rows ``(ids, ids as text, decoded)`` per chunk, numbered as the chunks come."""
 
         def describe(chunk: str) -> tuple[list[int], str, str]:
-            ids = sp.encode(chunk[1:])  # the model adds the first mark itself
+            # the model adds the first mark itself, but not to an empty text
+            ids = sp.encode(chunk[1:]) if len(chunk) > 1 else [sp.piece_to_id(MARK)]
             # decoding a chunk alone drops its first mark, which stands for a space
             return ids, ",".join(map(str, ids)), " " + sp.decode(ids)
 

@@ -24,38 +24,42 @@ class FactorizationMachine:
     Pair weights are products of ``rank`` factors per term, so the model sees
     that two terms stand together, and a pair costs nothing unless both of its
     terms have factors.  Terms are lower-cased words without punctuation at
-    their ends, hashed into ``buckets``.  Training is by Adam with a
-    soft threshold, which leaves most terms without weight; it uses at most
-    ``sample`` labelled documents.
+    their ends, and the beginnings of words, hashed into ``buckets``.  Training screens the terms first
+    (chi-square above ``screen``), so neutral terms have no weight and no pairs;
+    it uses at most ``sample`` labelled documents.
     """
 
-    buckets: int = 1 << 16
+    buckets: int = 1 << 17
+    beginnings: tuple[int, ...] = (4, 5, 6)
     rank: int = 4
-    sample: int = 8000
-    rounds: int = 16
+    sample: int = 12000
+    rounds: int = 40
+    screen: float = 60.0
     batch: int = 256
     rate: float = 0.03
-    shrink: float = 2e-4
+    shrink: float = 1e-4
     seed: int = 5
     bias: float = 0.0
     weights: np.ndarray | None = None
     factors: np.ndarray | None = None
 
-    def bucket(self, word: str) -> int:
+    def of_word(self, word: str) -> tuple[int, ...]:
+        """Buckets of the terms of a word: itself and its beginnings, which inflected forms share."""
         term = word.strip(_EDGES).lower()
-        return xxhash.xxh32_intdigest(term) % self.buckets if term else -1
+        forms = [term, *(f"{term[:n]}-" for n in self.beginnings if len(term) > n)] if term else []
+        return tuple(xxhash.xxh32_intdigest(f) % self.buckets for f in forms)
 
-    def terms(self, text: str, table: WordTable) -> np.ndarray:
+    @staticmethod
+    def terms(text: str, table: WordTable) -> np.ndarray:
         """Sorted distinct buckets of a text."""
-        at = np.unique(np.array(table.numbers(text.split()), dtype=np.int64)) if text else np.zeros(0, np.int64)
-        found = np.unique(np.array([table.rows[i] for i in at], dtype=np.int32))
-        return found[found >= 0]
+        found = {b for i in table.numbers(list(set(text.split()))) for b in table.rows[i]}
+        return np.array(sorted(found), dtype=np.int32)
 
     def fitted(self, docs: DataFrame, labels: DataFrame, label: str, fold: Column) -> FactorizationMachine:
         """The model of the labelled documents outside the held-out fold; without any, one that finds nothing toxic."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = WordTable(self.bucket)
+            table = WordTable(self.of_word)
             for batch in batches:
                 out = []
                 for text in batch["text"]:
@@ -69,32 +73,43 @@ class FactorizationMachine:
 
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         rng = np.random.default_rng(self.seed)
-        w, v = np.zeros(self.buckets), rng.normal(0, 0.05, (self.buckets, self.rank))
+        empty = np.zeros(self.buckets), np.zeros((self.buckets, self.rank))
         if not len(y):
-            return self._with(-10.0, w, v * 0)
+            return self._with(-10.0, *empty)
         share = min(max(y.mean(), 1e-4), 1 - 1e-4)
         b = float(np.log(share / (1 - share)))
-        moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
-        lengths, flat = np.array([len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        starts, turn = np.cumsum(lengths) - lengths, 0
+        lengths, flat = np.array([len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
+        # a term takes part if its presence and the label hang together beyond chance
+        of = np.repeat(y, lengths)
+        held, bad = np.bincount(flat, minlength=self.buckets), np.bincount(flat, of, self.buckets)
+        expected = held * y.mean()
+        spread = expected * (1 - y.mean()) * (1 - held / len(y))
+        chosen = np.flatnonzero((bad - expected) ** 2 > self.screen * np.maximum(spread, 1e-9))
+        number = np.full(self.buckets, -1)
+        number[chosen] = np.arange(len(chosen))
+        doc, at = np.repeat(np.arange(len(y)), lengths), number[flat]
+        doc, at = doc[at >= 0], at[at >= 0]
+        lengths = np.bincount(doc, minlength=len(y))
+        starts = np.cumsum(lengths) - lengths
+        w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), self.rank))
+        moments, turn = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)], 0
         for _ in range(self.rounds):
             order = rng.permutation(len(y))
             for i in range(0, len(y), self.batch):
                 part, turn = order[i : i + self.batch], turn + 1
-                at = flat[np.repeat(starts[part], lengths[part]) + runs_of(lengths[part])]
-                doc = np.repeat(np.arange(len(part)), lengths[part])
-                score, sums = self._scores(at, doc, len(part), b, w, v)
+                here = at[np.repeat(starts[part], lengths[part]) + runs_of(lengths[part])]
+                row = np.repeat(np.arange(len(part)), lengths[part])
+                score, sums = self._scores(here, row, len(part), b, w, v)
                 gap = (1 / (1 + np.exp(-score)) - y[part]) / len(part)
-                grads = (np.bincount(at, gap[doc], self.buckets), np.stack([np.bincount(at, gap[doc] * (sums[doc, f] - v[at, f]), self.buckets) for f in range(self.rank)], 1))
                 b -= self.rate * gap.sum()
-                for x, g, m, s in ((w, grads[0], moments[0], moments[1]), (v, grads[1], moments[2], moments[3])):
+                linear = np.bincount(here, gap[row], len(w)) + self.shrink * w
+                pairs = np.stack([np.bincount(here, gap[row] * (sums[row, f] - v[here, f]), len(w)) for f in range(self.rank)], 1) + self.shrink * v
+                for x, g, m, s in ((w, linear, moments[0], moments[1]), (v, pairs, moments[2], moments[3])):
                     m += 0.1 * (g - m)
                     s += 0.001 * (g * g - s)
                     x -= self.rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-6)
-                w[:] = np.sign(w) * np.maximum(np.abs(w) - self.rate * self.shrink * 20, 0)
-                size = np.sqrt((v * v).sum(1, keepdims=True)) + 1e-12
-                v *= np.maximum(1 - self.rate * self.shrink * 20 / size, 0)
-        return self._with(b, w, v)
+        empty[0][chosen], empty[1][chosen] = w, v
+        return self._with(b, *empty)
 
     def _with(self, bias: float, weights: np.ndarray, factors: np.ndarray) -> FactorizationMachine:
         from dataclasses import replace
@@ -117,9 +132,8 @@ class FactorizationMachine:
         """P(toxic) of a whole text; null and empty texts score by the bias alone."""
         whole, live = self, (self.weights != 0) | (self.factors != 0).any(1)
 
-        def known(word: str) -> int:
-            at = self.bucket(word)
-            return at if at >= 0 and live[at] else -1  # terms without weight change nothing
+        def known(word: str) -> tuple[int, ...]:
+            return tuple(b for b in self.of_word(word) if live[b])  # terms without weight change nothing
 
         @pandas_udf("double")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
