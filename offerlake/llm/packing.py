@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from offerlake.llm.common import stored, text_slices
 
 
+#: Ids of the words that this Python worker has met, per tokenizer file; tasks that run in it one after another share them.
+TABLES: dict[str, dict[str, bytes]] = {}
+
+
 @dataclass(frozen=True)
 class CuttingStock:
     """Documents as tokens in sequences of at most ``capacity``.
@@ -36,7 +40,7 @@ class CuttingStock:
     unit: int = 8
     tolerance: float = 5e-4
     steps: int = 4000
-    most: int = 200_000
+    most: int = 400_000
 
     # -- tokens --------------------------------------------------------------------------------------------------
 
@@ -44,7 +48,7 @@ class CuttingStock:
         """``(doc_id, start, length, ids_crc32, doc_tokens)``, with ``ids`` also the ids of the piece.
 
         White space always ends a token and is dropped, so each distinct word is
-        encoded once per task (a table of at most ``most`` words) and the ids of
+        encoded once per Python worker (a table of about ``most`` words) and the ids of
         a text are those of its words in order, then the end id.
         """
         capacity, end = self.capacity, np.array([self.end], "<u4").tobytes()
@@ -53,15 +57,16 @@ class CuttingStock:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            tokenizer, table = Tokenizer.from_file(self.path), {}
+            tokenizer, table = Tokenizer.from_file(self.path), TABLES.setdefault(self.path, {"": b""})
             for batch in batches:
                 texts = [x or "" for x in batch["text"]]
                 for i, j in text_slices(texts, 1_000_000):
                     if len(table) > self.most:
                         table.clear()
+                        table[""] = b""
                     worded = [_spaced(t).split(" ") for t in texts[i:j]]
                     new = [w for w in set().union(*worded) if w not in table]
-                    table.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+                    table.update(zip(new, _encoded(tokenizer, new), strict=True))
                     out = []
                     for doc, words in zip(batch["doc_id"].iloc[i:j], worded, strict=True):
                         whole = b"".join([table[w] for w in words]) + end
@@ -201,3 +206,16 @@ def _spaced(text: str) -> str:
     for c in "\t\n\v\f\r":
         text = text.replace(c, " ")
     return text
+
+
+def _encoded(tokenizer, words: list[str], group: int = 256) -> list[bytes]:
+    """Ids of each word as little-endian bytes; words go through the tokenizer many at a time, with a space between."""
+    parts = [words[i : i + group] for i in range(0, len(words), group)]
+    out: list[bytes] = []
+    for part, found in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        ends = np.cumsum([len(w) + 1 for w in part])
+        begins = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        cuts = np.searchsorted(begins, ends) * 4
+        ids = np.array(found.ids, "<u4").tobytes()
+        out += [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+    return out
