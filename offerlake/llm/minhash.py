@@ -35,7 +35,7 @@ class NearDuplicates:
     rows: int = 4
     batch: int = 16
     miss: float = 1e-4
-    block: int = 1024
+    block: int = 512
 
     @property
     def hashes(self) -> int:
@@ -117,7 +117,7 @@ class NearDuplicates:
             table = WordTable(xxhash.xxh3_64_intdigest)
             for batch in batches:
                 texts = [x or b"" for x in batch["text"]]
-                for i, j in text_slices(texts, 3_000_000):
+                for i, j in text_slices(texts, 1_500_000):
                     table.renew()
                     shingles, counts = self.shingle_sets(texts[i:j], table)
                     made, ends = iter(self.signatures(shingles, counts)), np.cumsum(counts)
@@ -136,7 +136,7 @@ class NearDuplicates:
             table = WordTable(xxhash.xxh3_64_intdigest)
             for batch in batches:
                 texts = [x or b"" for x in batch["text"]]
-                for i, j in text_slices(texts, 3_000_000):
+                for i, j in text_slices(texts, 1_500_000):
                     table.renew()
                     shingles, counts = self.shingle_sets(texts[i:j], table)
                     ends = np.cumsum(counts)
@@ -194,56 +194,75 @@ class NearDuplicates:
         )
         return both.mapInPandas(run, f"a {kind}, b {kind}")
 
-    def rivals(self, members: DataFrame, labels: DataFrame, signatures: DataFrame, width: int) -> DataFrame:
-        """Surviving pairs inside a bucket that no link connects yet, other than those with its hub.
+    def rivals(self, docs: DataFrame, members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
+        """Links inside buckets between components that the links to the hubs left apart.
 
         ``members`` is ``(key, band, hub, size, id)``.  Members outside the hub's
-        component are the bucket's queries; they meet all its members in blocks
-        of ``block`` rows, and only pairs that the signatures allow come out, each
-        from the first band that both share.  Per query and block the ``width``
-        best pairs are given; ``more`` says that others were left for the next round.
+        component are the bucket's queries; they meet its members in blocks of
+        ``block`` rows.  Signatures prune, full sets decide, and a pair counts in
+        the first band that both share.  Components that a link of the block
+        already joins are not compared again, so a block gives fewer links than
+        it has components, however many of its pairs are similar.
         """
         label = lambda id_: labels.select(F.col("id").alias(id_), F.col("component").alias(f"{id_}_label"))
         large = members.filter("size > 2")
         named = large.join(label("id"), "id", "left").join(label("hub"), "hub", "left")
         named = named.select("key", "band", "hub", "size", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
         open_keys = named.filter("label != main").select("key").distinct()
-        signed = named.filter("id != hub").join(open_keys, "key", "left_semi").join(signatures, "id")
+        rows = stored(named.filter("id != hub").join(open_keys, "key", "left_semi"), "open")
+        sets = self.sets_of(docs, stored(rows.select("id").distinct(), "ids"))
+        known = stored(sets.join(signatures.select("id", "signature"), "id"), "known")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
-        mine = signed.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), "id", "label", "signature")
-        asking = signed.filter("label != main").select(
+        mine = rows.join(known, "id").select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), "id", "label", "signature", "shingles")
+        asking = rows.filter("label != main").join(known, "id").select(
             F.col("key").alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("slice"),
-            "band", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("x"),
+            "band", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("x"), F.col("shingles").alias("s"),
         )
-        least, kind = self.least_matches(), members.schema["id"].dataType.simpleString()
-
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            m, m_ids, m_labels = _rows(right["signature"], np.uint32), right["id"].to_numpy(), right["label"].to_numpy()
-            for i in range(0, len(left), 128):
-                part = left.iloc[i : i + 128]
-                if not len(right):
-                    break
-                r, r_ids, r_labels = _rows(part["x"], np.uint32), part["a"].to_numpy(), part["a_label"].to_numpy()
-                at, to = np.nonzero(r_labels[:, None] != m_labels[None, :])
-                same = np.zeros(len(at), np.int64)
-                for n, lowest in least:
-                    same += (r[at, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
-                    good = same >= lowest
-                    at, to, same = at[good], to[good], same[good]
-                shared = (r[at].reshape(-1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
-                good = shared.argmax(1) == part["band"].iloc[0]
-                found.append(pd.DataFrame({"a": r_ids[at[good]], "b": m_ids[to[good]], "same": same[good]}))
-            if not found or not sum(map(len, found)):
-                return pd.DataFrame({"a": [], "b": [], "more": []})
-            pairs = pd.concat(found).sort_values(["a", "same", "b"], ascending=[True, False, True])
-            rank = pairs.groupby("a").cumcount()
-            pairs["more"] = rank == width
-            return pairs.loc[rank <= width, ["a", "b", "more"]]
-
-        groups = asking.groupBy("at", "slice").cogroup(mine.groupBy("key", "part"))
-        found = groups.applyInPandas(run, f"a {kind}, b {kind}, more boolean")
-        return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+        kind = members.schema["id"].dataType.simpleString()
+        links = asking.groupBy("at", "slice").cogroup(mine.groupBy("key", "part")).applyInPandas(lambda x, y: self._block_links(x, y), f"a {kind}, b {kind}")
+        return stored(links, "links")
+
+    def _block_links(self, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        joined: dict = {}
+
+        def root(x):
+            while joined.get(x, x) != x:
+                x = joined[x] = joined.get(joined[x], joined[x])
+            return x
+
+        out, least = [], self.least_matches()
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        m, m_ids, m_labels = _rows(right["signature"], np.uint32), right["id"].to_numpy(), right["label"].to_numpy()
+        m_sets = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+        m_sizes = np.array([len(x) for x in m_sets])
+        r, r_labels = _rows(left["x"], np.uint32), left["a_label"].to_numpy()
+        for i, (a, own) in enumerate(zip(left["a"], left["s"], strict=True)):
+            own = np.frombuffer(own, np.uint64)
+            low, high = np.minimum(m_sizes, len(own)), np.maximum(m_sizes, len(own))
+            to = np.flatnonzero((m_labels != r_labels[i]) & (100 * low >= self.percent * high))
+            same = np.zeros(len(to), np.int64)
+            for n, lowest in least:
+                same += (r[i, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
+                to, same = to[same >= lowest], same[same >= lowest]
+            shared = (r[i].reshape(1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
+            good = shared.argmax(1) == left["band"].iloc[i]
+            to = to[good][np.argsort(-same[good], kind="stable")]
+            width = 1
+            while len(to):
+                now, to = to[:width], to[width:]
+                now = [t for t in now if root(m_labels[t]) != root(r_labels[i])]
+                width *= 8
+                if not now:
+                    continue
+                every, sizes = np.concatenate([m_sets[t] for t in now]), m_sizes[now]
+                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                for t, linked in zip(now, 100 * common >= self.percent * (len(own) + sizes - common), strict=True):
+                    if linked and root(m_labels[t]) != root(r_labels[i]):
+                        joined[root(m_labels[t])] = root(r_labels[i])
+                        out.append((a, m_ids[t]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
@@ -277,19 +296,10 @@ class NearDuplicates:
         stars = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = stored(self.verified(docs, stored(self.likely(stars, signatures), "pairs")), "links")
         labels = connected_components(links)
-        width = 1
-        while True:
-            found = stored(self.rivals(members, labels, signatures, width), "rivals")
-            if found.isEmpty():
-                break
-            more = bool(found.agg(F.max("more")).first()[0])
-            fresh = stored(self.verified(docs, found.select("a", "b")), "links")
-            if not fresh.isEmpty():
-                links = links.unionByName(fresh)
-                labels = connected_components(links)
-            if not more:
-                break
-            width *= 8
+        fresh = self.rivals(docs, members, labels, signatures)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = connected_components(links)
         # the label of an id is that of the first id with its set
         roots = own.join(labels.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("root"))
         if not usable.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated ids: they may join several heads
