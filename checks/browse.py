@@ -266,7 +266,7 @@ def basic_search(t: DriverTables) -> DataFrame:
     s AS (SELECT query_id, variant_id, canonical_name, contains(doc, key) AS has,
         len(list_intersect(dg, h)) / (len(dg) + len(h) - len(list_intersect(dg, h))) AS ds,
         len(list_intersect(ng, h)) / (len(ng) + len(h) - len(list_intersect(ng, h))) AS ns FROM g, q),
-    r AS (SELECT *, GREATEST(ds, ns) AS score FROM s WHERE has OR ds > 0.12),
+    r AS (SELECT *, GREATEST(ds, ns) AS score FROM s WHERE has OR ds > 0.12 OR ns > 0.18),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_name, variant_id) AS rank FROM r)
     SELECT query_id, rank, variant_id, round(score, 6) AS search_score, CASE WHEN rank = 1 AND score >= 0.25 THEN canonical_name END AS suggestion FROM k WHERE rank <= 10
     """,
