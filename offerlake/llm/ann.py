@@ -22,8 +22,7 @@ class PostingLists:
     of their id), about ``list_rows`` rows each and at most ``lists`` of them,
     which bounds what every task holds.  All rows are indexed: a vector goes to
     its nearest centroid and to others not farther than ``1 + near`` times that,
-    up to ``copies`` lists, unless a chosen centroid is nearer to the other
-    centroid than the vector is.  A list longer than ``block`` rows, such as one
+    up to ``copies`` lists.  A list longer than ``block`` rows, such as one
     of equal vectors, is kept in several blocks.  A query takes the lists whose
     centroids are within ``1 + reach`` times its nearest one, and more until
     they hold ``spare`` times k rows.
@@ -31,14 +30,15 @@ class PostingLists:
 
     sample: int = 32_768
     lists: int = 1024
-    list_rows: int = 100
+    list_rows: int = 400
     near: float = 0.05
-    copies: int = 3
-    reach: float = 0.3
+    copies: int = 2
+    reach: float = 0.15
     spare: int = 32
     block: int = 4096
     degree: int = 16
-    beam: int = 384
+    beam: int = 192
+    starts: int = 16
     rounds: int = 10
     seed: int = 7
 
@@ -86,7 +86,7 @@ class PostingLists:
     def nearest_lists(self, q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of the graph for all queries at once: ``beam`` centroids per query and their distances, nearest first."""
         beam, rows = min(beam, len(c)), np.arange(len(q))[:, None]
-        start = np.unique(np.linspace(0, len(c) - 1, min(len(c), max(beam, 8))).astype(np.int64))
+        start = np.unique(np.linspace(0, len(c) - 1, min(len(c), self.starts)).astype(np.int64))
         seen, opened = np.zeros((len(q), len(c)), bool), np.zeros((len(q), len(c)), bool)
         far = np.full((len(q), len(c)), np.inf)
         far[:, start], seen[:, start] = _squares(q, c[start]), True
@@ -110,22 +110,15 @@ class PostingLists:
 
     def postings(self, rows: DataFrame, c: np.ndarray) -> DataFrame:
         """``(list, vec_id, v, own)``: every row in its lists; ``own`` marks the nearest one."""
-        between = np.sqrt(_squares(c, c))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for i in range(0, len(batch), 2048):
                     part = batch.iloc[i : i + 2048]
                     far = np.sqrt(_squares(np.stack(part["v"].to_numpy()), c))
-                    near = np.argsort(far, axis=1, kind="stable")[:, : 2 * self.copies]
+                    near = np.argsort(far, axis=1, kind="stable")[:, : self.copies]
                     d = np.take_along_axis(far, near, 1)
-                    keep = np.zeros(near.shape, bool)
-                    keep[:, 0] = True
-                    for j in range(1, near.shape[1]):
-                        good = (d[:, j] <= (1 + self.near) * d[:, 0]) & (keep.sum(1) < self.copies)
-                        for o in range(j):
-                            good &= ~keep[:, o] | (between[near[:, j], near[:, o]] >= d[:, j])
-                        keep[:, j] = good
+                    keep = d <= (1 + self.near) * d[:, :1]
                     r, s = np.nonzero(keep)
                     yield pd.DataFrame({"list": near[r, s].astype(np.int32), "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r], "own": s == 0})
 
@@ -167,12 +160,24 @@ class PostingLists:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             ids, x, out = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), []
-            for query, q in zip(left["query_id"], left["q"], strict=True):
-                score = np.sqrt(((x - q) ** 2).sum(1))
-                score[ids == query] = np.inf
-                best = np.lexsort((ids, score))[: k * self.copies]
-                best = best[np.isfinite(score[best])]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": score[best]}))
+            asking, q = left["query_id"].to_numpy(), np.stack(left["q"].to_numpy())
+            first = k * int(np.unique(ids, return_counts=True)[1].max())  # rows that share an id count once
+            for i in range(0, len(q), 256):
+                near = _squares(q[i : i + 256], x)
+                near[asking[i : i + 256, None] == ids[None, :]] = np.inf
+                edge = np.partition(near, first - 1, axis=1)[:, first - 1] if len(ids) > first else np.full(len(near), np.inf)
+                slack = 1e-9 * ((q[i : i + 256] ** 2).sum(1) + (x * x).sum(1).max())  # far above the rounding of the products
+                r, s = np.nonzero(np.isfinite(near) & (near <= (edge + slack)[:, None]))
+                score = np.sqrt(((x[s] - q[i + r]) ** 2).sum(1))
+                order = np.lexsort((score, ids[s], r))
+                r, s, score = r[order], s[order], score[order]
+                new = np.ones(len(r), bool)
+                new[1:] = (r[1:] != r[:-1]) | (ids[s[1:]] != ids[s[:-1]])
+                r, s, score = r[new], s[new], score[new]
+                order = np.lexsort((ids[s], score, r))
+                r, s, score = r[order], s[order], score[order]
+                best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append(pd.DataFrame({"query_id": asking[i + r[best]], "vec_id": ids[s[best]], "score": score[best]}))
             return pd.concat(out)
 
         found = asks.groupBy("asked", "slice").cogroup(placed.groupBy("list", "part")).applyInPandas(measure, "query_id bigint, vec_id bigint, score double")
