@@ -23,8 +23,9 @@ class ThresholdTopK:
     The components are dealt to the nodes, so a node knows one summand of each
     inner product.  Summands are counted from the node's least one for the
     query, which makes them non-negative and moves all sums of a query alike.
-    Phase 1: each node sends its k best summands; the k-th best partial sum is
-    a safe cutoff, since no sum can be below what is known of it.  Phase 2: a
+    Phase 1: each node lists its ``depth`` * k best summands, looks up the sums
+    of those rows and sends the k highest; the k-th best sum of all lists is a
+    safe cutoff, since k rows reach it.  Phase 2: a
     row whose every summand is below cutoff / nodes cannot reach the cutoff, so
     each node sends the summands from that threshold on.  Phase 3: of these
     rows, those whose upper bound reaches the k-th best lower bound of their
@@ -35,6 +36,7 @@ class ThresholdTopK:
 
     k: int = 20
     nodes: int = 2
+    depth: int = 5
     block_rows: int = 16384
     query_rows: int = 2048
     step: int = 128
@@ -55,7 +57,7 @@ class ThresholdTopK:
         asks = asks.select("block", "chunk", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
         tiles = tiles.join(asks, ["block", "chunk"]).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(self.nodes - 1))))
 
-        lists = tiles.mapInPandas(self._local_lists, "query_id bigint, node int, low double, row bigint, part double")
+        lists = tiles.mapInPandas(self._local_lists, "query_id bigint, node int, low double, row bigint, sum double")
         cutoffs = stored(self._cutoffs(lists), "cutoffs")
         # the cutoffs of a chunk's queries, in the order of its matrix
         by_chunk = asked.mapInPandas(_positions, "chunk int, query_id bigint, place int").join(cutoffs, "query_id")
@@ -76,7 +78,7 @@ class ThresholdTopK:
         return ids, q_ids, x, q
 
     def _local_lists(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Phase 1 of one node and block: the least summand and the k best of each query."""
+        """Phase 1 of one node and block: each query's least summand and, of the rows with its best summands, the k highest sums."""
         for batch in batches:
             for row in batch.itertuples():
                 ids, q_ids, x, q = self._tile(row)
@@ -85,22 +87,25 @@ class ThresholdTopK:
                     parts = q[i : i + self.step, at] @ x[:, at].T
                     low = parts.min(1)
                     parts[q_ids[i : i + self.step, None] == ids[None, :]] = -np.inf
-                    best = np.argpartition(parts, -self.k, axis=1)[:, -self.k :] if len(ids) > self.k else np.tile(np.arange(len(ids)), (len(parts), 1))
-                    values = np.take_along_axis(parts, best, 1)
+                    size = min(len(ids), self.depth * self.k)
+                    best = np.argpartition(parts, len(ids) - size, axis=1)[:, len(ids) - size :]
+                    values = np.einsum("ijk,ik->ij", x[best], q[i : i + self.step])
+                    values[np.isneginf(np.take_along_axis(parts, best, 1))] = -np.inf
+                    if size > self.k:
+                        top = np.argpartition(values, size - self.k, axis=1)[:, size - self.k :]
+                        best, values = np.take_along_axis(best, top, 1), np.take_along_axis(values, top, 1)
                     good = np.isfinite(values)
                     count = best.shape[1]
-                    out = pd.DataFrame({"query_id": np.repeat(q_ids[i : i + self.step], count), "node": np.int32(row.node), "low": np.repeat(low, count), "row": (row.block * 2**32 + best).ravel(), "part": values.ravel()})
+                    out = pd.DataFrame({"query_id": np.repeat(q_ids[i : i + self.step], count), "node": np.int32(row.node), "low": np.repeat(low, count), "row": (row.block * 2**32 + best).ravel(), "sum": values.ravel()})
                     yield out[good.ravel()]
 
     def _cutoffs(self, lists: DataFrame) -> DataFrame:
-        """``(query_id, lows, cut)``: the least summand per node, and the k-th best partial sum."""
+        """``(query_id, lows, cut)``: the least summand per node, and the k-th best sum of the lists."""
         lows = lists.groupBy("query_id", "node").agg(F.min("low").alias("low"))
-        top = lists.withColumnRenamed("query_id", "asked").withColumn("query_id", F.struct("asked", "node"))
-        top = best_of(top, self.k, F.desc("part"), F.asc("row")).select(F.col("asked").alias("query_id"), "node", "row", "part")
-        sums = top.join(lows, ["query_id", "node"]).groupBy("query_id", "row").agg(F.sum(F.col("part") - F.col("low")).alias("sum"))
-        last = best_of(sums, self.k, F.desc("sum"), F.asc("row")).filter(F.col("rank") == self.k).select("query_id", F.col("sum").alias("cut"))
-        nodes = lows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("node", "low"))).alias("lows"))
-        return nodes.join(last, "query_id", "left").select("query_id", "lows.low", F.coalesce("cut", F.lit(0.0)).alias("cut"))
+        sums = lists.groupBy("query_id", "row").agg(F.max("sum").alias("sum"))  # the nodes agree on a row's sum
+        last = best_of(sums, self.k, F.desc("sum"), F.asc("row")).filter(F.col("rank") == self.k).select("query_id", "sum")
+        nodes = lows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("node", "low"))).alias("lows"), F.sum("low").alias("least"))
+        return nodes.join(last, "query_id", "left").select("query_id", "lows.low", F.coalesce(F.col("sum") - F.col("least"), F.lit(0.0)).alias("cut"))
 
     def _pack_cutoffs(self, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")
