@@ -180,12 +180,12 @@ def variant_listing(t: DriverTables) -> DataFrame:
     WITH {PUBLIC}, r AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY NOT eligible_for_ranking,
       COALESCE(comparable_total, cash_price), cash_price, CASE computed_freshness WHEN 'fresh' THEN 0 WHEN 'late' THEN 1 WHEN 'stale' THEN 2 ELSE 3 END,
       CASE availability WHEN 'available' THEN 0 WHEN 'limited' THEN 1 WHEN 'preorder' THEN 2 WHEN 'unknown' THEN 3 ELSE 4 END, store_name, offer_id) AS offer_rank FROM pub)
-    SELECT variant_id, offer_rank, offer_id, store_name, CAST(comparable_total AS DOUBLE) AS comparable_total FROM r WHERE offer_rank <= 3
+    SELECT variant_id, offer_rank, offer_id, store_name, CAST(comparable_total AS DOUBLE) AS comparable_total FROM r
     """,
 )
 def materialized_comparisons(t: DriverTables) -> DataFrame:
     ranked = browse.rank_offers(public_offers(t), sizes=t.fx_offers)
-    return browse.materialize_comparisons(ranked, 3).select("variant_id", "offer_rank", "offer_id", "store_name", "comparable_total")
+    return browse.materialize_comparisons(ranked).select("variant_id", "offer_rank", "offer_id", "store_name", "comparable_total")
 
 
 @check(

@@ -331,13 +331,17 @@ def document_segments(t: DriverTables) -> DataFrame:
 @check(
     "plan_keys",
     """
-    WITH k AS (SELECT plan_id, concat_ws('|', cash_offer_key, lower(COALESCE(provider_name, 'unknown')), COALESCE(months, 0), '', '',
-      CASE WHEN starting_from_only THEN 'start' ELSE 'fixed' END) AS plan_identity FROM fx_plans)
+    WITH p AS (SELECT *, CASE WHEN plan_id % 3 = 0 THEN 'cib card' WHEN plan_id % 3 = 1 THEN 'visa' ELSE '' END AS card, CASE WHEN plan_id % 2 = 0 THEN 'monthly' ELSE '' END AS often FROM fx_plans),
+    k AS (SELECT plan_id, concat_ws('|', cash_offer_key, COALESCE(lower(provider_name), NULLIF(card, ''), 'unknown'), card, COALESCE(months, 0), often, '', '',
+      CASE WHEN starting_from_only THEN 'start' ELSE 'fixed' END) AS plan_identity FROM p)
     SELECT plan_id, plan_identity, concat('INST-', upper(substr(sha1(plan_identity), 1, 18))) AS plan_key FROM k
     """,
 )
 def plan_keys(t: DriverTables) -> DataFrame:
-    rows = ex.with_plan_key(t.fx_plans.withColumnRenamed("cash_offer_key", "offer_key"))
+    card = F.when(F.col("plan_id") % 3 == 0, "CIB  Card").when(F.col("plan_id") % 3 == 1, "Visa")
+    often = F.when(F.col("plan_id") % 2 == 0, "Monthly")
+    plans = t.fx_plans.withColumnRenamed("cash_offer_key", "offer_key").withColumns({"bank_or_card": card, "payment_frequency": often})
+    rows = ex.with_plan_key(plans)
     return rows.select("plan_id", "plan_identity", "plan_key")
 
 

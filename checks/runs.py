@@ -154,10 +154,11 @@ def store_capacity(t: DriverTables) -> DataFrame:
 @check(
     "popularity_windows",
     """
-    WITH e AS (SELECT user_id AS subject_id, event_type, date_diff('second', date_trunc('hour', ts), TIMESTAMP '2024-01-31 00:00:00') / 86400 AS age FROM events),
+    WITH e AS (SELECT user_id AS subject_id, event_type, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) AS age FROM events
+               WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'),
     w AS (SELECT unnest([1, 7, 30, 90, 365]) AS window_days)
     SELECT subject_id, window_days, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS selections,
-      count(*) FILTER (event_type = 'purchase') AS comparisons FROM e JOIN w ON age <= window_days GROUP BY 1, 2
+      count(*) FILTER (event_type = 'purchase') AS comparisons FROM e JOIN w ON age <= window_days * 86400000000 GROUP BY 1, 2
     """,
 )
 def popularity_windows(t: DriverTables) -> DataFrame:

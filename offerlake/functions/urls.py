@@ -62,24 +62,31 @@ def _tidy_path(p: Column) -> Column:
     return F.when(squeezed == "", "/").otherwise(squeezed)
 
 
+def _without_dots(p: Column) -> Column:
+    """A rooted path with its dot segments folded from the left, any number of them; query and fragment stay."""
+    tail = F.regexp_extract(p, "(?s)[?#].*$", 0)
+    parts = F.split(F.substr(F.regexp_replace(p, "(?s)[?#].*$", ""), F.lit(2)), "/")
+    fold = lambda kept, s: (
+        F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    )
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), fold), "/"))
+    folder = F.element_at(parts, -1).isin(".", "..") & ~whole.endswith("/")
+    return F.when(p.contains("/."), F.concat(whole, F.when(folder, "/").otherwise(""), tail)).otherwise(p)
+
+
 def absolute_url(url: Column, base: Column) -> Column:
     """Resolve a reference against its page URL (scheme-, root- and path-relative, dot segments)."""
     ref = F.trim(url)
     origin = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), ref)
-    joined = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    joined = F.regexp_replace(joined, r"^(?:/\.\.)+(?=/)", "")
+    joined = F.when(ref.startswith("/"), ref).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), ref))
     return (
         F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref == "", base)
         .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
         .when(ref.startswith("?"), F.concat(origin, path(base), ref))
         .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(origin, joined))
+        .otherwise(F.concat(origin, let(joined, _without_dots)))
     )
 
 

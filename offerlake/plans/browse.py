@@ -173,13 +173,13 @@ def product_comparison(ranked_offers: DataFrame, variant_id: object | None = Non
     return rows.select("variant_id", "offer_rank", "offer_id", "store_name", "cash_price", "comparable_total", "computed_freshness", "availability", "eligible_for_ranking")
 
 
-def materialize_comparisons(ranked_offers: DataFrame, limit: int = 50) -> DataFrame:
-    """Serving rows of the first ``limit`` offers of every product, partitioned for point reads by (variant, rank).
+def materialize_comparisons(ranked_offers: DataFrame) -> DataFrame:
+    """Serving rows of all offers of every product, for point reads by (variant, rank).
 
     Rows stay one per offer: a document per product would pull every offer of
     a product into one value.
     """
-    return product_comparison(ranked_offers).filter(F.col("offer_rank") <= limit)
+    return product_comparison(ranked_offers)
 
 
 def model_groups(products: DataFrame) -> DataFrame:

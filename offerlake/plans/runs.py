@@ -15,14 +15,18 @@ TERMINAL = ("success", "failed")
 
 
 def group_work(mappings: DataFrame) -> DataFrame:
-    """One unit of fetch work per store, URL and connector settings.
+    """One unit of fetch work per store, URL and all connector settings; settings that ``mappings`` lacks have their defaults.
 
     Mapping ids of a unit stay rows (``work_key`` on every mapping) and only
     their number is aggregated, so a URL shared by very many mappings is fine.
     """
+    setting = lambda name, default: (
+        F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in mappings.columns else F.lit(default)
+    )
     parts = [
-        F.col("store_id").cast("string"), "effective_source_url", F.coalesce("effective_url_type", F.lit("")),
-        F.coalesce("requests_per_minute", F.lit(10)).cast("string"),
+        F.col("store_id").cast("string"), "effective_source_url", setting("effective_url_type", ""), setting("allowed_hosts", "[]"),
+        setting("connector_mode", "auto"), setting("connector_version", "generic-v1"), setting("respect_robots", "true"), setting("browser_required", "false"),
+        setting("requests_per_minute", "10"), setting("max_concurrency", "1"),
     ]
     keyed = mappings.withColumn("work_key", F.sha1(F.concat_ws("|", *parts)))
     return keyed.groupBy("work_key", "store_id", "effective_source_url").agg(
@@ -150,15 +154,18 @@ def capacity(listings: DataFrame, connectors: DataFrame, window_minutes: float =
 def popularity(events: DataFrame, as_of: str | Column, windows: Sequence[int] = (1, 7, 30, 90, 365)) -> DataFrame:
     """Views, selections and comparisons per subject over several trailing windows.
 
-    Days are counted first; windows then multiply day counts, not events.
+    Events are counted first by their age in started days before ``as_of``, so
+    an event exactly ``n`` days old is in the window of ``n`` days; windows then
+    multiply these counts, not events.
     """
     at = moment(as_of)
     is_in = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
-    hours = events.filter(F.col("ts") <= at).groupBy("subject_id", F.date_trunc("hour", "ts").alias("_h")).agg(
+    micros = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    started = events.filter(F.col("ts") <= at).withColumn("_age", micros).withColumn("_days", F.expr("(_age + 86399999999) DIV 86400000000"))
+    days = started.groupBy("subject_id", "_days").agg(
         is_in("view").alias("views"), is_in("click").alias("selections"), is_in("purchase").alias("comparisons")
     )
-    age = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("_h").cast("timestamp"))) / 86_400_000_000
-    spread = hours.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows]))).filter(age <= F.col("window_days"))
+    spread = days.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows]))).filter("_days <= window_days")
     return spread.groupBy("subject_id", "window_days").agg(
         F.sum("views").alias("views"), F.sum("selections").alias("selections"), F.sum("comparisons").alias("comparisons")
     )
