@@ -313,7 +313,7 @@ def _costs(t: DriverTables) -> DataFrame:
     req AS (SELECT brand, arg_min(variant_id, (price, variant_id)) AS variant_id FROM v GROUP BY 1),
     p AS (SELECT a.variant_id, b.variant_id AS alternative_id, a.price AS ap, b.price - a.price AS gap, a.brand = b.brand AS sb, a.model = b.model AS sm,
         list_sum([CASE WHEN a.s[i] = b.s[i] THEN 1.0::DOUBLE WHEN contains(a.s[i], b.s[i]) OR contains(b.s[i], a.s[i]) THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END FOR i IN [1, 2, 3, 4]]) / 4 AS sim
-      FROM v a JOIN req r ON r.variant_id = a.variant_id JOIN v b ON b.category_id = a.category_id AND b.variant_id <> a.variant_id),
+      FROM v a JOIN req r ON r.variant_id = a.variant_id JOIN v b ON b.category_id = a.category_id AND b.variant_id <> a.variant_id AND b.active),
     k AS (SELECT *, round(sim * 100 - abs(gap) / GREATEST(ap, 1) * 30, 6) AS rank_score FROM p),
     r AS (SELECT *, row_number() OVER (PARTITION BY variant_id ORDER BY rank_score DESC, alternative_id) AS alternative_rank FROM k)
     SELECT variant_id, alternative_id, round(sim * 100, 2) AS similarity_score, round(gap, 2) AS price_gap, alternative_rank,

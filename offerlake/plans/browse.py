@@ -256,17 +256,21 @@ def alternatives(requested: DataFrame, variants: DataFrame, costs: DataFrame, k:
 
     ``requested`` (variant_id) is the short list being served, so the work is
     one pass over the variants per request and never a pairing of all variants.
-    ``variants`` has category_id, brand, model and the compared ``specs`` map;
-    ``costs`` has lowest_final_cost.
+    ``variants`` has category_id, brand, model, active and the compared ``specs``
+    map; ``costs`` has lowest_final_cost and may have lowest_installment_total.
+    Candidates are active and have either cost; a candidate with instalments
+    alone has no price gap.
     """
+    instalment = F.col("lowest_installment_total") if "lowest_installment_total" in costs.columns else F.lit(None)
     entries = F.map_entries(F.transform_values("specs", lambda _, v: text.search_key(v)))
     base = variants.join(costs, "variant_id", "left").select(
         "variant_id", F.coalesce(F.col("category_id").cast("string"), F.lit("\u0000")).alias("category"), "brand", "model",
         F.col("lowest_final_cost").cast("double").alias("price"), entries.alias("specs"),
+        (F.col("active") & (F.col("lowest_final_cost").isNotNull() | instalment.isNotNull())).alias("offered"),
     )
     asked = base.join(requested.select("variant_id").distinct(), "variant_id", "left_semi")
     left = asked.select(*[F.col(c).alias("l_" + c) for c in ("variant_id", "category", "brand", "model", "price", "specs")])
-    right = base.filter(F.col("price").isNotNull()).withColumnRenamed("variant_id", "alternative_id")
+    right = base.filter("offered").drop("offered").withColumnRenamed("variant_id", "alternative_id")
     pairs = left.join(right, (F.col("l_category") == F.col("category")) & (F.col("l_variant_id") != F.col("alternative_id")))
     shared = F.filter("l_specs", lambda e: F.exists("specs", lambda o: o["key"] == e["key"]))
 

@@ -74,3 +74,14 @@ def test_comparisons_keep_every_offer(spark):
         F.lit("available").alias("availability"), F.lit(True).alias("eligible_for_ranking"),
     )
     assert browse.materialize_comparisons(ranked).count() == 120
+
+
+def test_alternatives_are_active_and_may_have_instalments_alone(spark):
+    rows = [(1, True), (2, True), (3, False), (4, True), (5, True)]
+    variants = spark.createDataFrame(rows, "variant_id int, active boolean").withColumns(
+        {"category_id": F.lit(7), "brand": F.lit("b"), "model": F.lit("m"), "specs": F.create_map(F.lit("k"), F.lit("v"))}
+    )
+    costs = spark.createDataFrame([(1, 100.0, None), (2, 90.0, None), (3, 90.0, None), (4, None, 120.0)], "variant_id int, lowest_final_cost double, lowest_installment_total double")
+    requested = spark.createDataFrame([(1,)], "variant_id int")
+    got = {r["alternative_id"]: r["price_gap"] for r in browse.alternatives(requested, variants, costs).collect()}
+    assert got == {2: -10.0, 4: None}
