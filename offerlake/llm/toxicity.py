@@ -24,9 +24,13 @@ class FactorizationMachine:
     Pair weights are products of ``rank`` factors per term, so the model sees
     that two terms stand together, and a pair costs nothing unless both of its
     terms have factors.  Terms are lower-cased words without punctuation at
-    their ends, and the beginnings of words, hashed into ``buckets``.  Training screens the terms first
-    (chi-square above ``screen``), so neutral terms have no weight and no pairs;
-    it uses at most ``sample`` labelled documents.
+    their ends, and the beginnings of words, hashed into ``buckets``.  Training
+    uses at most ``sample`` labelled documents and every term of them: evidence
+    sets how far a term may move against its shrinkage, never whether it takes
+    part.  ``mass`` is what the terms of an average text count together without
+    any evidence of their own; that share lets terms that are neutral alone
+    learn in pairs.  ``turns`` is the least number of steps, for small tables.
+    ``screen`` leaves out terms below that chi-square; it is off unless asked for.
     """
 
     buckets: int = 1 << 17
@@ -34,7 +38,9 @@ class FactorizationMachine:
     rank: int = 4
     sample: int = 12000
     rounds: int = 40
-    screen: float = 60.0
+    screen: float = 0.0
+    mass: float = 1.0
+    turns: int = 400
     batch: int = 256
     rate: float = 0.03
     shrink: float = 1e-4
@@ -79,36 +85,50 @@ class FactorizationMachine:
         share = min(max(y.mean(), 1e-4), 1 - 1e-4)
         b = float(np.log(share / (1 - share)))
         lengths, flat = np.array([len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
-        # a term takes part if its presence and the label hang together beyond chance
+        # evidence of a term: chi-square of its presence and the label, against somewhat more than the largest that chance gives among so many terms
         of = np.repeat(y, lengths)
         held, bad = np.bincount(flat, minlength=self.buckets), np.bincount(flat, of, self.buckets)
         expected = held * y.mean()
         spread = expected * (1 - y.mean()) * (1 - held / len(y))
-        chosen = np.flatnonzero((bad - expected) ** 2 > self.screen * np.maximum(spread, 1e-9))
+        chi = (bad - expected) ** 2 / np.maximum(spread, 1e-9)
+        chosen = np.flatnonzero((held > 0) & (chi >= self.screen))
+        chance = 2.6 * np.log(max(len(chosen), 2))
+        reach = min(1.0, self.mass / max(lengths.mean(), 1)) + chi[chosen] ** 4 / (chi[chosen] ** 4 + chance**4)
+        reach = reach[:, None].astype(np.float32)
         number = np.full(self.buckets, -1)
         number[chosen] = np.arange(len(chosen))
         doc, at = np.repeat(np.arange(len(y)), lengths), number[flat]
         doc, at = doc[at >= 0], at[at >= 0]
         lengths = np.bincount(doc, minlength=len(y))
         starts = np.cumsum(lengths) - lengths
-        w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), self.rank))
-        moments, turn = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)], 0
-        for _ in range(self.rounds):
+        # column 0 holds the weights, the others the factors; reach scales the steps, and shrinkage works on all terms alike
+        p = (np.sqrt(reach) * np.pad(rng.normal(0, 0.05, (len(chosen), self.rank)), ((0, 0), (1, 0)))).astype(np.float32)
+        moment, size, turn = np.zeros_like(p), np.zeros(2), 0
+        for _ in range(max(self.rounds, -(-self.turns // -(-len(y) // self.batch)))):
             order = rng.permutation(len(y))
             for i in range(0, len(y), self.batch):
                 part, turn = order[i : i + self.batch], turn + 1
                 here = at[np.repeat(starts[part], lengths[part]) + runs_of(lengths[part])]
                 row = np.repeat(np.arange(len(part)), lengths[part])
-                score, sums = self._scores(here, row, len(part), b, w, v)
+                score, sums = self._scores(here, row, len(part), b, p[:, 0], p[:, 1:])
                 gap = (1 / (1 + np.exp(-score)) - y[part]) / len(part)
                 b -= self.rate * gap.sum()
-                linear = np.bincount(here, gap[row], len(w)) + self.shrink * w
-                pairs = np.stack([np.bincount(here, gap[row] * (sums[row, f] - v[here, f]), len(w)) for f in range(self.rank)], 1) + self.shrink * v
-                for x, g, m, s in ((w, linear, moments[0], moments[1]), (v, pairs, moments[2], moments[3])):
-                    m += 0.1 * (g - m)
-                    s += 0.001 * (g * g - s)
-                    x -= self.rate * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.999**turn)) + 1e-6)
-        empty[0][chosen], empty[1][chosen] = w, v
+                linear = np.bincount(here, gap[row], len(p)).astype(np.float32)
+                slope = np.empty_like(p)
+                slope[:, 0] = linear
+                for f in range(self.rank):
+                    slope[:, f + 1] = np.bincount(here, (gap * sums[:, f])[row], len(p))
+                slope[:, 1:] -= p[:, 1:] * linear[:, None]
+                slope *= reach
+                slope += np.float32(self.shrink) * p
+                moment += np.float32(0.1) * (slope - moment)
+                # one step size for all weights and one for all factors: steps of each term's own size would make all terms equal
+                steep = slope**2 / np.maximum(reach, 1e-9)
+                size += 0.01 * (np.array([steep[:, 0].max(initial=0), steep[:, 1:].max(initial=0)]) - size)
+                step = self.rate / (1 - 0.9**turn) / (np.sqrt(size / (1 - 0.99**turn)) + 1e-6)
+                p[:, 0] -= np.float32(step[0]) * moment[:, 0]
+                p[:, 1:] -= np.float32(step[1]) * moment[:, 1:]
+        empty[0][chosen], empty[1][chosen] = p[:, 0], p[:, 1:]
         return self._with(b, *empty)
 
     def _with(self, bias: float, weights: np.ndarray, factors: np.ndarray) -> FactorizationMachine:
@@ -118,9 +138,9 @@ class FactorizationMachine:
 
     @staticmethod
     def _scores(at: np.ndarray, doc: np.ndarray, n: int, b: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        linear = np.bincount(doc, w[at], n)
-        sums = np.stack([np.bincount(doc, v[at, f], n) for f in range(v.shape[1])], 1)
-        squares = np.bincount(doc, (v[at] ** 2).sum(1), n)
+        linear, here = np.bincount(doc, w[at], n), v[at]
+        sums = np.stack([np.bincount(doc, here[:, f], n) for f in range(v.shape[1])], 1)
+        squares = np.bincount(doc, (here**2).sum(1), n)
         return np.clip(b + linear + 0.5 * ((sums**2).sum(1) - squares), -30, 30), sums
 
     def probabilities(self, sets: list[np.ndarray]) -> np.ndarray:

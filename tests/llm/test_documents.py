@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import checksum
+from offerlake.llm.common import WordTable, checksum
 from offerlake.llm.crf import LABELS, ChainField
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
@@ -236,6 +236,34 @@ def test_pairs_of_terms_make_toxicity(spark, docs, no_docs):
     assert max(r.s for r in docs.select(untrained.score(F.col("text")).alias("s")).collect()) < 0.01
 
 
+def test_rare_toxic_words_with_default_training():
+    rng = np.random.default_rng(8)
+    usual = [f"w{i}" for i in range(2000)]
+    texts, y = [], []
+    for i in range(900):
+        words = list(rng.choice(usual, 30))
+        if i % 9 == 0:
+            words[7] = f"slur{i // 9 % 10}"  # each word in six or seven labelled documents, all of them toxic
+        texts.append(" ".join(words))
+        y.append(float(i % 9 == 0))
+    model, table = FactorizationMachine(beginnings=()), WordTable(FactorizationMachine(beginnings=()).of_word)
+    sets, y = [model.terms(t, table) for t in texts], np.array(y)
+    score = model.fit(sets[:600], y[:600]).probabilities(sets[600:])
+    pairs = score[y[600:] == 1][:, None] > score[y[600:] == 0][None, :]
+    assert pairs.mean() > 0.99  # held-out AUC
+
+
+def test_pair_of_terms_neutral_alone_with_default_training():
+    rng = np.random.default_rng(9)
+    usual = ["river", "stone", "cloud", "paper", "green", "table", "music", "window"]
+    texts = [" ".join([*rng.choice(usual, 30), *["left"] * (i % 4 in (0, 1)), *["right"] * (i % 4 in (0, 2))]) for i in range(900)]
+    y = np.array([float(i % 4 in (0, 3)) for i in range(900)])  # toxic with both words or with none
+    model, table = FactorizationMachine(), WordTable(FactorizationMachine().of_word)
+    sets = [model.terms(t, table) for t in texts]
+    score = model.fit(sets[:600], y[:600]).probabilities(sets[600:])
+    assert np.mean((score >= 0.7) == y[600:]) > 0.97
+
+
 def test_gradients_of_the_attention_model():
     rng = np.random.default_rng(0)
     model = PassageAttention(words=20, shapes=6, width=4, gate=3)
