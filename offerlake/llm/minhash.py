@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -194,75 +194,70 @@ class NearDuplicates:
         )
         return both.mapInPandas(run, f"a {kind}, b {kind}")
 
-    def rivals(self, docs: DataFrame, members: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
-        """Links inside buckets between components that the links to the hubs left apart.
+    def rivals(self, docs: DataFrame, members: DataFrame, links: DataFrame, labels: DataFrame, signatures: DataFrame) -> DataFrame:
+        """``links`` with those inside buckets between components that the links to the hubs left apart.
 
         ``members`` is ``(key, band, hub, size, id)``.  Members outside the hub's
-        component are the bucket's queries; they meet its members in blocks of
-        ``block`` rows.  Signatures prune, full sets decide, and a pair counts in
-        the first band that both share.  Components that a link of the block
-        already joins are not compared again, so a block gives fewer links than
-        it has components, however many of its pairs are similar.
+        component are the bucket's queries.  The bucket is dealt into blocks of
+        about ``block`` rows and every two of its blocks meet once, with ids and
+        signatures alone.  Signatures prune, and a pair counts in the first band
+        that both share.  A query offers its best candidate of a block, then the
+        next 8, 64 and so on, without those that a link has joined with it
+        meanwhile; full sets of the offered pairs decide.  It ends when no block
+        has a candidate left.
         """
         label = lambda id_: labels.select(F.col("id").alias(id_), F.col("component").alias(f"{id_}_label"))
         large = members.filter("size > 2")
         named = large.join(label("id"), "id", "left").join(label("hub"), "hub", "left")
         named = named.select("key", "band", "hub", "size", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
         open_keys = named.filter("label != main").select("key").distinct()
-        rows = stored(named.filter("id != hub").join(open_keys, "key", "left_semi"), "open")
-        sets = self.sets_of(docs, stored(rows.select("id").distinct(), "ids"))
-        known = stored(sets.join(signatures.select("id", "signature"), "id"), "known")
+        rows = named.filter("id != hub").join(open_keys, "key", "left_semi").distinct().join(signatures.select("id", "signature"), "id")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
-        mine = rows.join(known, "id").select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), "id", "label", "signature", "shingles")
-        asking = rows.filter("label != main").join(known, "id").select(
-            F.col("key").alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("slice"),
-            "band", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("x"), F.col("shingles").alias("s"),
-        )
-        kind = members.schema["id"].dataType.simpleString()
-        links = asking.groupBy("at", "slice").cogroup(mine.groupBy("key", "part")).applyInPandas(lambda x, y: self._block_links(x, y), f"a {kind}, b {kind}")
-        return stored(links, "links")
-
-    def _block_links(self, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        joined: dict = {}
-
-        def root(x):
-            while joined.get(x, x) != x:
-                x = joined[x] = joined.get(joined[x], joined[x])
-            return x
-
-        out, least = [], self.least_matches()
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        m, m_ids, m_labels = _rows(right["signature"], np.uint32), right["id"].to_numpy(), right["label"].to_numpy()
-        m_sets = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
-        m_sizes = np.array([len(x) for x in m_sets])
-        r, r_labels = _rows(left["x"], np.uint32), left["a_label"].to_numpy()
-        for i, (a, own) in enumerate(zip(left["a"], left["s"], strict=True)):
-            own = np.frombuffer(own, np.uint64)
-            low, high = np.minimum(m_sizes, len(own)), np.maximum(m_sizes, len(own))
-            to = np.flatnonzero((m_labels != r_labels[i]) & (100 * low >= self.percent * high))
+        mine = F.pmod(F.xxhash64("id", "signature"), blocks).cast("int")
+        rows = stored(rows.select("key", "band", "id", "label", (F.col("label") != F.col("main")).alias("asks"), "signature", blocks.alias("blocks"), mine.alias("mine")), "open")
+        kind, start, width, current = members.schema["id"].dataType.simpleString(), 0, 1, labels
+        while True:
+            now = rows.join(current.select("id", F.col("component").alias("now")), "id", "left").withColumn("now", F.coalesce("now", "id"))
+            # block p meets block o in the group (p, o) or (o, p), the smaller number first
+            met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            met = met.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "id", "label", "now", "asks", "signature")
+            found = stored(met.groupBy("key", "low", "high").applyInPandas(self._offering(start, start + width), f"a {kind}, b {kind}, more boolean"), "offers")
+            pairs = found.filter("NOT more").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            if not pairs.isEmpty():
+                links = stored(links.unionByName(self.verified(docs, stored(pairs, "pairs"))), "links")
+                current = stored(connected_components(links), "labels")
+            if found.filter("more").isEmpty():
+                return links
+            start, width = start + width, 8 * width
+
+    def _offering(self, start: int, end: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda rows: self._block_offers(start, end, rows)
+
+    def _block_offers(self, start: int, end: int, rows: pd.DataFrame) -> pd.DataFrame:
+        """Candidates ``start`` to ``end`` of each query of two blocks, best first; a row with ``more`` says that others follow."""
+        a, b, least, more = [], [], self.least_matches(), False
+        ids, asks, mine = rows["id"].to_numpy(), rows["asks"].to_numpy(bool), rows["mine"].to_numpy()
+        m, first, now, band = _rows(rows["signature"], np.uint32), rows["label"].to_numpy(), rows["now"].to_numpy(), rows["band"].iloc[0]
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        rank = np.empty(len(rows), np.int64)  # an order of the rows that is the same in each pass
+        rank[np.lexsort((rows["signature"].to_numpy(), ids))] = np.arange(len(rows))
+        for i in np.flatnonzero(asks):
+            # two queries meet once, from the one that is first in order
+            to = np.flatnonzero((first != first[i]) & ((low == high) | (mine != mine[i])) & (~asks | (rank > rank[i])))
             same = np.zeros(len(to), np.int64)
             for n, lowest in least:
-                same += (r[i, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
+                same += (m[i, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
                 to, same = to[same >= lowest], same[same >= lowest]
-            shared = (r[i].reshape(1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
-            good = shared.argmax(1) == left["band"].iloc[i]
-            to = to[good][np.argsort(-same[good], kind="stable")]
-            width = 1
-            while len(to):
-                now, to = to[:width], to[width:]
-                now = [t for t in now if root(m_labels[t]) != root(r_labels[i])]
-                width *= 8
-                if not now:
-                    continue
-                every, sizes = np.concatenate([m_sets[t] for t in now]), m_sizes[now]
-                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-                for t, linked in zip(now, 100 * common >= self.percent * (len(own) + sizes - common), strict=True):
-                    if linked and root(m_labels[t]) != root(r_labels[i]):
-                        joined[root(m_labels[t])] = root(r_labels[i])
-                        out.append((a, m_ids[t]))
-        return pd.DataFrame(out, columns=["a", "b"])
+            shared = (m[i].reshape(1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
+            good = shared.any(1) & (shared.argmax(1) == band)
+            to = to[good][np.lexsort((rank[to[good]], -same[good]))]
+            offered, later = to[start:end], to[end:]
+            offered = offered[now[offered] != now[i]]
+            more = more or bool((now[later] != now[i]).any())
+            a += [ids[i]] * len(offered)
+            b += list(ids[offered])
+        out = pd.DataFrame({"a": a, "b": b, "more": [False] * len(a)})
+        return pd.concat([out, pd.DataFrame({"a": ids[:1], "b": ids[:1], "more": [True]})]) if more else out
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
@@ -296,10 +291,10 @@ class NearDuplicates:
         stars = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         links = stored(self.verified(docs, stored(self.likely(stars, signatures), "pairs")), "links")
         labels = connected_components(links)
-        fresh = self.rivals(docs, members, labels, signatures)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = connected_components(links)
+        labels = stored(labels, "labels")
+        more = self.rivals(docs, members, links, labels, signatures)
+        if more is not links:
+            links, labels = more, connected_components(more)
         # the label of an id is that of the first id with its set
         roots = own.join(labels.withColumnRenamed("id", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("root"))
         if not usable.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated ids: they may join several heads

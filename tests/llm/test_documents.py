@@ -57,6 +57,36 @@ def test_near_duplicates_equal_brute_force(spark, real, block):
     assert Counter(map(tuple, NearDuplicates(block=block).classes(docs).collect())) == brute_classes(rows)
 
 
+def test_hot_bucket_of_unlinked_documents_is_dealt_in_blocks(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def bounded(kind):
+        plain = kind.applyInPandas
+
+        def run(self, func, schema):
+            def one(x):
+                assert len(x) <= 64
+                return func(x)
+
+            def two(x, y):
+                assert len(x) <= 64 and len(y) <= 64
+                return func(x, y)
+
+            return plain(self, two if kind is PandasCogroupedOps else one, schema)
+
+        monkeypatch.setattr(kind, "applyInPandas", run)
+
+    bounded(PandasCogroupedOps)
+    bounded(PandasGroupedOpsMixin)
+    # a shared template and own words: similarity about 0.65, so members of a key are seldom linked; some have a true twin
+    template, rows = [f"t{i}" for i in range(90)], []
+    for k in range(150):
+        rows.append((k, " ".join([*template, *(f"own{k}x{i}" for i in range(20))])))
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(60, 150, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, NearDuplicates(block=16).classes(docs).collect())) == brute_classes(rows)
+
+
 def test_near_duplicates_of_odd_rows(docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     out = NearDuplicates().classes(docs)
