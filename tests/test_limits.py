@@ -85,3 +85,19 @@ def test_alternatives_are_active_and_may_have_instalments_alone(spark):
     requested = spark.createDataFrame([(1,)], "variant_id int")
     got = {r["alternative_id"]: r["price_gap"] for r in browse.alternatives(requested, variants, costs).collect()}
     assert got == {2: -10.0, 4: None}
+
+
+def test_json_walk_has_no_depth_limit(spark):
+    product = '{"@type": "Product", "name": "Deep", "price": "120", "url": "https://s.example/p"}'
+    for levels in (0, 9, 20):
+        body = '{"a": [' * levels + product + "]}" * levels
+        docs = spark.createDataFrame([(1, "https://s.example/", body)], "page_id int, url string, body string")
+        assert [r["title"] for r in ex.candidates_from_json(docs).collect()] == ["Deep"], levels
+        html = docs.selectExpr("page_id", "url", """concat('<script type="application/ld+json">', body, '</script>') AS html""")
+        assert [r["title"] for r in ex.extract_jsonld(html).collect()] == ["Deep"], levels
+
+
+def test_import_fields_have_no_depth_limit(spark):
+    record = '{"a": ' * 20 + '{"title": "Deep", "price": "120"}' + "}" * 20
+    rows = spark.createDataFrame([(record,), ('{"title": "Flat", "x": {"title": "no"}}',)], "body string").selectExpr("parse_json(body) AS record")
+    assert {r["title"] for r in ex.normalize_import(rows).collect()} == {"Deep", "Flat"}
