@@ -79,7 +79,7 @@ def external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def threshold_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    whole = usable(load(spark, folder, "embeddings")).select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
+    whole = usable(load(spark, folder, "embeddings"), strict=True).select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
     return ThresholdTopK(k=20).search(whole, whole.filter("vec_id % 20 = 0"))
 
 
@@ -115,7 +115,7 @@ def cutting_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_posting_list_search")
 def posting_list_search(spark: SparkSession, folder: str) -> DataFrame:
-    whole = usable(load(spark, folder, "embeddings"), zero=False)
+    whole = usable(load(spark, folder, "embeddings"), zero=False, strict=True)
     return PostingLists().search(whole, whole.filter("vec_id % 100 = 0"), k=10)
 
 

@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, vector: str = "embedding", zero: bool = True) -> DataFrame:
+def usable(vectors: DataFrame, vector: str = "embedding", zero: bool = True, strict: bool = False) -> DataFrame:
     """``(vec_id, v)`` with ``v`` as doubles: rows without null or non-finite components, of the most frequent length.
 
     Null ids, null and empty vectors take no part; without ``zero``, neither do
-    vectors of zeros only.  Of two equally frequent lengths the smaller one counts.
+    vectors of zeros only.  Of two equally frequent lengths the smaller one counts;
+    with ``strict``, usable vectors of several lengths are an error instead.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     c = F.col(vector)
     rows = vectors.select("vec_id", c.cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND size(v) > 0").filter(F.forall("v", finite))
     if not zero:
         rows = rows.filter(F.exists("v", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head(2)
+    if strict and len(lengths) > 1:
+        raise ValueError(f"vectors of several lengths: {lengths[0]['count']} of {lengths[0]['n']} components, {lengths[1]['count']} of {lengths[1]['n']}")
+    return rows.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
 
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:

@@ -49,6 +49,15 @@ def test_threshold_top_k(vectors, operator):
     assert operator.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_threshold_top_k", "op7_posting_list_search"])
+def test_vectors_of_several_lengths_are_an_error(vectors, spark, tmp_path, name):
+    from offerlake.llm.queries import QUERIES
+
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(ValueError, match="several lengths"):
+        QUERIES[name](spark, str(tmp_path))
+
+
 def test_top_k_with_repeated_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (20, [3.0, 1.0]), (20, [3.0, 1.0])], "vec_id bigint, v array<double>")
     got = [(r.query_id, r.vec_id, r.score) for r in ThresholdTopK(k=3).search(rows, rows.filter("vec_id = 20")).collect()]
