@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm.ann import PostingLists
+from offerlake.llm.byte_pairs import TreeBytePairs
 from offerlake.llm.common import checksum, load
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
@@ -138,3 +139,8 @@ def factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
     model = FactorizationMachine().fitted(docs, load(spark, folder, "labels"), "toxic", ~held)
     scored = docs.select("doc_id", held.alias("held_out"), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op13_tree_byte_pairs")
+def tree_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return TreeBytePairs(public_tokenizers.path("byte_bpe_50k.json")).digests(load(spark, folder, "documents"))
