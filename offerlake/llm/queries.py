@@ -15,6 +15,7 @@ from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
 from offerlake.llm.pieces import ChunkedPieces
 from offerlake.llm.pii import PersonalData
+from offerlake.llm.prefix_trie import PrefixTrie
 from offerlake.llm.quality import PassageAttention
 from offerlake.llm.sharding import sharded_documents, text_bytes
 from offerlake.llm.topk import ThresholdTopK
@@ -144,3 +145,39 @@ def factorization_machine(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_tree_byte_pairs")
 def tree_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return TreeBytePairs(public_tokenizers.path("byte_bpe_50k.json")).digests(load(spark, folder, "documents"))
+
+
+@query(
+    "op12_prefix_trie",
+    """
+    WITH t AS (
+        SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+        FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+    crc AS (SELECT c, n, c - c % 5 AS b, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))),
+                lambda a, z: list_reduce(list_prepend(xor(a, z), range(8)), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, CAST(3988292384 AS BIGINT)) ELSE s >> 1 END)),
+                CAST(4294967295 AS BIGINT)) % 9 AS h FROM ids),
+    plan AS (SELECT crc.*, least(h, coalesce(o.n, 0)) AS kept FROM crc LEFT JOIN ids o ON o.c = crc.b),
+    rebuilt AS (
+        SELECT p.c, t.i AS d, r, x FROM plan p JOIN t ON t.c = p.b AND t.i <= p.h
+        UNION ALL SELECT p.c, t.i - p.h + p.kept, r, x FROM plan p JOIN t ON t.c = p.c AND t.i > p.h),
+    sized AS (SELECT p.c, count(r.d) AS size FROM plan p LEFT JOIN rebuilt r ON r.c = p.c GROUP BY 1),
+    prefixed AS (
+        SELECT c, d, x, string_agg(md5(concat(strlen(r), ':', r, x)), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS k FROM rebuilt
+        UNION ALL SELECT c, 0, '', '' FROM sized),
+    walked AS (SELECT p.*, size, min(c) OVER (PARTITION BY d, k) AS m FROM prefixed p JOIN sized USING (c)),
+    stepped AS (SELECT *, lag(m) OVER (PARTITION BY c ORDER BY d) AS up FROM walked),
+    node AS (SELECT m, d, max(CASE WHEN c = m THEN up END) AS up, count(*) AS n, (count(*) - 1) * strlen(any_value(x)) AS saved,
+                    CAST(count(*) FILTER (d = size) = count(*) AS BIGINT) AS leaf, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = size), '') AS ends FROM stepped GROUP BY 1, 2),
+    tails AS (SELECT s.c, s.d, s.m, sum(CASE WHEN s.c = s.m THEN leaf ELSE 0 END) OVER w AS leaves, sum(CASE WHEN s.c = s.m THEN saved ELSE 0 END) OVER w AS saved
+              FROM stepped s JOIN node USING (m, d) WINDOW w AS (PARTITION BY s.c ORDER BY s.d DESC)),
+    totals AS (SELECT m, d, sum(leaves) AS leaves, sum(saved) AS saved FROM tails GROUP BY 1, 2),
+    children AS (SELECT up AS m, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2)
+    SELECT m AS conv_id, d AS depth, up AS parent_conv_id, node.n AS n_convs, coalesce(children.n, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(totals.saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+    FROM node JOIN totals USING (m, d) LEFT JOIN children USING (m, d)
+    """,
+)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return PrefixTrie().with_shared_starts(load(spark, folder, "conversations"))
