@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from offerlake.llm.ann import PostingLists
 from offerlake.llm.byte_pairs import TreeBytePairs
 from offerlake.llm.common import checksum, load
+from offerlake.llm.hard_negatives import HyperplaneTree, labelled_vectors
 from offerlake.llm.minhash import NearDuplicates
 from offerlake.llm.packing import CuttingStock
 from offerlake.llm.pieces import ChunkedPieces
@@ -181,3 +182,21 @@ def tree_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return PrefixTrie().with_shared_starts(load(spark, folder, "conversations"))
+
+
+@query(
+    "op11_hyperplane_negatives",
+    """
+    WITH valid AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS s
+               FROM valid a JOIN valid c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    positive AS (SELECT a, c AS p, s AS ps FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, c) <= 5),
+    hard AS (SELECT x.a, x.p, x.ps, n.c, n.s, CAST(row_number() OVER (PARTITION BY x.a, x.p ORDER BY n.s DESC, n.c) AS INTEGER) AS rank
+             FROM positive x JOIN scored n ON n.a = x.a AND NOT n.same AND 80 * x.ps <= 100 * n.s AND 100 * n.s <= 100 * x.ps)
+    SELECT a AS anchor_id, p AS positive_id, rank, c AS negative_id, ps AS positive_score, s AS negative_score FROM hard WHERE rank <= 5
+    """,
+)
+def hyperplane_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return HyperplaneTree().mined(labelled_vectors(load(spark, folder, "embeddings"), label, 256.0), F.col("vec_id") % 100 == 0)
