@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import comb
@@ -26,7 +28,10 @@ class NearDuplicates:
     ``bands`` bands of ``rows`` hashes propose candidates: at similarity 0.75 a
     pair shares no band with probability (1 - 0.75^4)^32 = 5e-6.  Candidates are
     compared ``batch`` hashes at a time; one whose posterior probability of
-    reaching the threshold (uniform prior) is below ``miss`` is dropped.
+    reaching the threshold (uniform prior) is below ``miss`` is dropped.  Where
+    many rows share a bucket the comparison goes on with the ``sketch`` smallest
+    shingle hashes of both: of shorter texts these are the whole sets, so their
+    links are exact there, and for longer ones the same bound is applied to them.
     """
 
     words: int = 5
@@ -36,6 +41,7 @@ class NearDuplicates:
     batch: int = 16
     miss: float = 1e-4
     block: int = 512
+    sketch: int = 512
 
     @property
     def hashes(self) -> int:
@@ -129,8 +135,8 @@ class NearDuplicates:
         kind = source.schema["doc_id"].dataType.simpleString()
         return source.mapInPandas(run, f"doc_id {kind}, n_shingles bigint, set_key binary, signature binary")
 
-    def sets_of(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
-        """``(id, shingles)`` of the documents named in ``ids``, computed anew from their whole texts."""
+    def sets_of(self, docs: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+        """``(id, set_key, n_shingles, shingles)`` of the documents named in ``ids``, computed anew from their whole texts; with ``most``, only so many smallest shingles."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table = WordTable(xxhash.xxh3_64_intdigest)
@@ -139,12 +145,13 @@ class NearDuplicates:
                 for i, j in text_slices(texts, 1_500_000):
                     table.renew()
                     shingles, counts = self.shingle_sets(texts[i:j], table)
-                    ends = np.cumsum(counts)
-                    yield pd.DataFrame({"id": batch["id"].iloc[i:j], "shingles": [shingles[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
+                    whole = [shingles[e - c : e].tobytes() for e, c in zip(np.cumsum(counts), counts, strict=True)]
+                    keys = [xxhash.xxh3_128_digest(w) if w else None for w in whole]
+                    yield pd.DataFrame({"id": batch["id"].iloc[i:j], "set_key": keys, "n_shingles": counts, "shingles": [w[: 8 * most] if most else w for w in whole]})
 
         named = named_rows(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")), ids, "id")
         kind = named.schema["id"].dataType.simpleString()
-        return named.mapInPandas(run, f"id {kind}, shingles binary")
+        return named.mapInPandas(run, f"id {kind}, set_key binary, n_shingles bigint, shingles binary")
 
     def likely(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that survive the sequential comparison of their signatures."""
@@ -173,7 +180,7 @@ class NearDuplicates:
         kind = pairs.schema["a"].dataType.simpleString()
         ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
         # rows that share an id are one document, so each of their sets counts
-        sets = stored(self.sets_of(docs, ids), "sets")
+        sets = stored(self.sets_of(docs, ids).select("id", "shingles"), "sets")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -199,51 +206,71 @@ class NearDuplicates:
 
         ``members`` is ``(key, band, hub, size, id)``.  Members outside the hub's
         component are the bucket's queries.  The bucket is dealt into blocks of
-        about ``block`` rows and every two of its blocks meet once, with ids and
-        signatures alone.  Signatures prune, and a pair counts in the first band
-        that both share.  A query offers its best candidate of a block, then the
-        next 8, 64 and so on, without those that a link has joined with it
-        meanwhile; full sets of the offered pairs decide.  It ends when no block
-        has a candidate left.
+        about ``block`` rows and every two of its blocks meet, with ids,
+        signatures and sketches.  Signatures prune, and a pair counts in the first
+        band that both share.  Where both sketches are whole sets they decide, and
+        a block gives a forest of its links, not all of them.  Of the others a
+        query offers its best candidate of a block, then the next 8, 64 and so on,
+        without those that a link has joined with it meanwhile, and full sets
+        decide.  It ends when no block has a candidate left.
         """
         label = lambda id_: labels.select(F.col("id").alias(id_), F.col("component").alias(f"{id_}_label"))
         large = members.filter("size > 2")
         named = large.join(label("id"), "id", "left").join(label("hub"), "hub", "left")
         named = named.select("key", "band", "hub", "size", "id", F.coalesce("id_label", "id").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
         open_keys = named.filter("label != main").select("key").distinct()
-        rows = named.filter("id != hub").join(open_keys, "key", "left_semi").distinct().join(signatures.select("id", "signature"), "id")
+        rows = named.filter("id != hub").join(open_keys, "key", "left_semi").distinct().join(signatures.select("id", "set_key", "signature"), "id")
         blocks = F.ceil(F.col("size") / self.block).cast("int")
         mine = F.pmod(F.xxhash64("id", "signature"), blocks).cast("int")
-        rows = stored(rows.select("key", "band", "id", "label", (F.col("label") != F.col("main")).alias("asks"), "signature", blocks.alias("blocks"), mine.alias("mine")), "open")
+        rows = stored(rows.select("key", "band", "id", "set_key", "label", (F.col("label") != F.col("main")).alias("asks"), "signature", blocks.alias("blocks"), mine.alias("mine")), "open")
+        ids = stored(rows.select("id").distinct(), "open_ids")
+        sketches = stored(self.sets_of(docs, ids, self.sketch).dropDuplicates(["id", "set_key"]).withColumnRenamed("shingles", "sketch"), "sketches")
         kind, start, width, current = members.schema["id"].dataType.simpleString(), 0, 1, labels
         while True:
             now = rows.join(current.select("id", F.col("component").alias("now")), "id", "left").withColumn("now", F.coalesce("now", "id"))
             # block p meets block o in the group (p, o) or (o, p), the smaller number first
-            met = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            met = met.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "id", "label", "now", "asks", "signature")
-            found = stored(met.groupBy("key", "low", "high").applyInPandas(self._offering(start, start + width), f"a {kind}, b {kind}, more boolean"), "offers")
-            pairs = found.filter("NOT more").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            if not pairs.isEmpty():
-                links = stored(links.unionByName(self.verified(docs, stored(pairs, "pairs"))), "links")
-                current = stored(connected_components(links), "labels")
+            met = now.join(sketches, ["id", "set_key"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            met = met.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "band", "id", "label", "now", "asks", "signature", "n_shingles", "sketch")
+            found = stored(met.groupBy("key", "low", "high").applyInPandas(self._offering(start, start + width), f"a {kind}, b {kind}, more boolean, exact boolean"), "offers")
+            sure = found.filter("exact").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = stored(found.filter("NOT more AND NOT exact").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            verified = self.verified(docs, pairs) if not pairs.isEmpty() else pairs
+            links = stored(links.unionByName(sure).unionByName(verified), "links")
             if found.filter("more").isEmpty():
                 return links
+            current = stored(connected_components(links), "labels")
             start, width = start + width, 8 * width
 
     def _offering(self, start: int, end: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         return lambda rows: self._block_offers(start, end, rows)
 
     def _block_offers(self, start: int, end: int, rows: pd.DataFrame) -> pd.DataFrame:
-        """Candidates ``start`` to ``end`` of each query of two blocks, best first; a row with ``more`` says that others follow."""
-        a, b, least, more = [], [], self.least_matches(), False
+        """Two blocks: a forest of their exact links, and of the other candidates of each query those from ``start`` to ``end``, best first; a row with ``more`` says that others follow."""
+        out, least, more = [], self.least_matches(), False
         ids, asks, mine = rows["id"].to_numpy(), rows["asks"].to_numpy(bool), rows["mine"].to_numpy()
         m, first, now, band = _rows(rows["signature"], np.uint32), rows["label"].to_numpy(), rows["now"].to_numpy(), rows["band"].iloc[0]
-        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        low, high, size = rows["low"].iloc[0], rows["high"].iloc[0], rows["n_shingles"].to_numpy(np.int64)
+        sketch = [np.frombuffer(x, np.uint64) for x in rows["sketch"]]
+        whole = size <= self.sketch
+        sets: dict[int, set] = {}
+        above: dict = {}
+
+        def root(x):
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        def as_set(j: int) -> set:
+            if j not in sets:
+                sets[j] = set(sketch[j].tolist())
+            return sets[j]
+
         rank = np.empty(len(rows), np.int64)  # an order of the rows that is the same in each pass
         rank[np.lexsort((rows["signature"].to_numpy(), ids))] = np.arange(len(rows))
         for i in np.flatnonzero(asks):
             # two queries meet once, from the one that is first in order
             to = np.flatnonzero((first != first[i]) & ((low == high) | (mine != mine[i])) & (~asks | (rank > rank[i])))
+            to = to[100 * np.minimum(size[to], size[i]) >= self.percent * np.maximum(size[to], size[i])]
             same = np.zeros(len(to), np.int64)
             for n, lowest in least:
                 same += (m[i, n - self.batch : n] == m[to, n - self.batch : n]).sum(1)
@@ -251,13 +278,26 @@ class NearDuplicates:
             shared = (m[i].reshape(1, self.bands, self.rows) == m[to].reshape(-1, self.bands, self.rows)).all(2)
             good = shared.any(1) & (shared.argmax(1) == band)
             to = to[good][np.lexsort((rank[to[good]], -same[good]))]
+            exact = whole[to] & whole[i]
+            for j in to[exact & (now[to] != now[i])]:
+                if root(now[i]) != root(now[j]):
+                    common = len(as_set(i) & as_set(j))
+                    if 100 * common >= self.percent * (size[i] + size[j] - common):
+                        above[root(now[i])] = root(now[j])
+                        out.append((ids[i], ids[j], False, True))
+            to = np.array([j for j in to[~exact] if self._may_reach(sketch[i], sketch[j], whole[i], whole[j])], np.int64)
             offered, later = to[start:end], to[end:]
-            offered = offered[now[offered] != now[i]]
             more = more or bool((now[later] != now[i]).any())
-            a += [ids[i]] * len(offered)
-            b += list(ids[offered])
-        out = pd.DataFrame({"a": a, "b": b, "more": [False] * len(a)})
-        return pd.concat([out, pd.DataFrame({"a": ids[:1], "b": ids[:1], "more": [True]})]) if more else out
+            out += [(ids[i], ids[j], False, False) for j in offered[now[offered] != now[i]]]
+        out += [(ids[0], ids[0], True, False)] * more
+        return pd.DataFrame(out, columns=["a", "b", "more", "exact"])
+
+    def _may_reach(self, x: np.ndarray, y: np.ndarray, x_whole: bool, y_whole: bool) -> bool:
+        """Whether the smallest hashes of two sets leave the threshold possible at ``miss``: of those up to the shorter sketch's last, the common ones are a sample of the similarity."""
+        end = min([np.uint64(2**64 - 1)] + [s[-1] for s, complete in ((x, x_whole), (y, y_whole)) if not complete])
+        x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= _least_common(len(x) + len(y) - common, self.percent / 100, self.miss)
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
@@ -312,6 +352,18 @@ class NearDuplicates:
         return docs.join(drop, docs["doc_id"] == drop["__dropped"], "left_anti")
 
 
+@functools.cache
+def _least_common(n: int, t: float, miss: float) -> int:
+    """The least m with P(Binomial(n + 1, t) <= m) >= ``miss``."""
+    tail, m, log = 0.0, 0, math.log
+    while m <= n:
+        tail += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * log(t) + (n + 1 - m) * log(1 - t))
+        if tail >= miss:
+            break
+        m += 1
+    return m
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each output bit depends on all input bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
