@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import stored, text_slices
+from offerlake.llm.common import RecentTable, stored, text_slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,7 +44,9 @@ def _loaded(path: str):
 class TreeBytePairs:
     """A byte-level BPE file of the tokenizers library, applied to texts of any length.
 
-    A text whose words are short is encoded by the library as it stands.  A text
+    Text is always split before a space that something visible follows, so the
+    words between such spaces are encoded once per worker and table of recent
+    words, by the library.  A text
     with an unsplit stretch (a word or a run of white space) of ``leaf``
     characters or more is cut up: its ordinary words stay together, a stretch
     is halved until its pieces have at most ``leaf`` bytes.  The pieces of all
@@ -82,6 +84,9 @@ class TreeBytePairs:
         if not fit or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in file["added_tokens"]):
             raise ValueError(f"not a plain byte-level BPE: {self.path}")
 
+    def added_texts(self) -> list[str]:
+        return sorted((t.content for t in self.tokenizer().get_added_tokens_decoder().values()), key=len, reverse=True)
+
     def token_bytes(self) -> dict[int, bytes]:
         """The bytes of every token; an added token stands for its own text."""
         return _loaded(self.path)[1]
@@ -132,26 +137,49 @@ class TreeBytePairs:
 
     # -- jobs ----------------------------------------------------------------------------------------------------
 
-    def _run(self, docs: DataFrame, columns: str, finish: Callable[[dict[int, bytes], list[int]], tuple]) -> DataFrame:
-        """``doc_id`` and ``finish(bytes of tokens, ids)`` of every row, as ``columns``."""
+    def _words(self, tokenizer, table: dict[int, bytes]) -> RecentTable:
+        """Ids and bytes of words: of a text's later ones with the space before them, of a tuple's as they are; None if the space may stay with what is before it."""
+
+        def describe(words: list) -> list:
+            texts = [w[0] if isinstance(w, tuple) else " " + w for w in words]
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            out = [(np.array(ids, "<u4").tobytes(), b"".join([table[i] for i in ids])) for ids in found]
+            return [None if isinstance(w, str) and not visible(w) else o for w, o in zip(words, out, strict=True)]
+
+        return RecentTable(describe)
+
+    def _run(self, docs: DataFrame, columns: str, finish: Callable[[bytes, bytes], tuple]) -> DataFrame:
+        """``doc_id`` and ``finish(ids, bytes of their tokens)`` of every row, as ``columns``."""
         self.refuse_unfit()
         source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
         kind, names = source.schema["doc_id"].dataType.simpleString(), [c.strip().split()[0] for c in columns.split(",")]
-        long = re.compile(rf"\S{{{self.leaf // 4}}}|\s{{{self.leaf // 4}}}")  # a character has at most four bytes
+        short = self.leaf // 4  # a character has at most four bytes
+        long = re.compile(rf"\S{{{short}}}|\s{{{short}}}")
 
         def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tokenizer = self.tokenizer()
-            table, special = self.token_bytes(), [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-            added = re.compile(f"({'|'.join(sorted(special, key=len, reverse=True))})") if special else None
+            tokenizer, table, special = self.tokenizer(), self.token_bytes(), self.added_texts()
+            added, words = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None, self._words(tokenizer, table)
             for batch in batches:
                 texts = list(batch["text"])
                 for i, j in text_slices(texts, 1_000_000):
-                    done, parts = [], []
+                    rows, split = [], {}
                     for at in range(i, j):
-                        (parts if len(texts[at]) >= self.leaf // 4 and long.search(texts[at]) else done).append(at)
-                    found = [e.ids for e in tokenizer.encode_batch_fast([texts[at] for at in done], add_special_tokens=False)]
-                    rows = [(at, None, None, None, None, *finish(table, ids)) for at, ids in zip(done, found, strict=True)]
-                    rows += [(at, n, *p, *[None] * len(names)) for at in parts for n, p in enumerate(self.pieces(tokenizer, added, texts[at]))]
+                        text = texts[at]
+                        if len(text) >= short and long.search(text):
+                            rows += [(at, n, *p, *[None] * len(names)) for n, p in enumerate(self.pieces(tokenizer, added, text))]
+                        elif any(s in text for s in special):
+                            ids = tokenizer.encode(text, add_special_tokens=False).ids
+                            rows.append((at, None, None, None, None, *finish(np.array(ids, "<u4").tobytes(), b"".join([table[n] for n in ids]))))
+                        else:
+                            head, *rest = text.split(" ")
+                            split[at] = [(head,), *rest]
+                    words.fill(set().union(*split.values()))
+                    odd = {at: whole_words(texts[at]) for at, parts in split.items() if None in [words[w] for w in parts]}
+                    split |= odd
+                    words.fill(set().union(*split.values()))
+                    for at, parts in split.items():
+                        found = [words[w] for w in parts]
+                        rows.append((at, None, None, None, None, *finish(b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))))
                     out = pd.DataFrame(rows, columns=["at", "part", "piece", "unsplit", "joined", *names], dtype=object)
                     where = out.pop("at").astype(int).to_numpy()
                     yield pd.concat([batch[["row", "doc_id"]].iloc[where].reset_index(drop=True), out], axis=1)
@@ -166,8 +194,7 @@ class TreeBytePairs:
                 yield batch[["row", "doc_id", "part", "joined"]].assign(ids=ids)
 
         def put_together(parts: pd.DataFrame) -> pd.DataFrame:
-            tokenizer = self.tokenizer()
-            table, letters = self.token_bytes(), {b: c for c, b in byte_alphabet().items()}
+            tokenizer, table, letters = self.tokenizer(), self.token_bytes(), {b: c for c, b in byte_alphabet().items()}
             encode = lambda ids: [t.id for t in tokenizer.model.tokenize("".join([letters[b] for i in ids for b in table[i]]))]
             parts = parts.sort_values("part")
             stretches: list[list[list[int]]] = []
@@ -178,7 +205,8 @@ class TreeBytePairs:
                 else:
                     stretches.append([found])
             whole = [i for halves in stretches for i in self.tree(halves, encode)]
-            return pd.DataFrame([(parts["doc_id"].iloc[0], *finish(table, whole))], columns=["doc_id", *names], dtype=object)
+            done = finish(np.array(whole, "<u4").tobytes(), b"".join([table[i] for i in whole]))
+            return pd.DataFrame([(parts["doc_id"].iloc[0], *done)], columns=["doc_id", *names], dtype=object)
 
         shape = f"row bigint, doc_id {kind}, part int, piece string, unsplit boolean, joined boolean, {columns}"
         begun = stored(source.mapInPandas(first, shape), "byte_pairs")
@@ -195,7 +223,7 @@ class TreeBytePairs:
         an empty one, and other columns are not read.  A document's ids are held
         by one task, as its text is by one cell.
         """
-        return self._run(docs, "ids array<int>", lambda table, ids: (ids,))
+        return self._run(docs, "ids array<int>", lambda ids, _: (np.frombuffer(ids, "<u4").astype(np.int32),))
 
     def decoded(self, coded: DataFrame) -> DataFrame:
         """``(doc_id, text)`` from ``(doc_id, ids)``: the bytes of the tokens in order, bytes that are no UTF-8 as the replacement character; null ids give a null text."""
@@ -204,18 +232,32 @@ class TreeBytePairs:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             table = self.token_bytes()
             for batch in batches:
-                yield batch[["doc_id"]].assign(text=[None if x is None else text_of(table, x) for x in batch["ids"]])
+                yield batch[["doc_id"]].assign(text=[None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in batch["ids"]])
 
         return coded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, rows as in :meth:`encoded`; the ids are decoded again for the last."""
 
-        def finish(table: dict[int, bytes], ids: list[int]) -> tuple[int, str, str]:
-            return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text_of(table, ids).encode()).hexdigest()
+        def finish(ids: bytes, tokens: bytes) -> tuple[int, str, str]:
+            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tokens.decode("utf-8", "replace").encode()).hexdigest()
 
         return self._run(docs, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", finish)
 
 
-def text_of(table: dict[int, bytes], ids) -> str:
-    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+def visible(word: str) -> bool:
+    """Whether a word surely starts with no white space, so that the space before it is its own."""
+    return bool(word) and not word[0].isspace() and word[0] not in "\u180e\u200b\u2060\ufeff"
+
+
+def whole_words(text: str) -> list[tuple[str]]:
+    """A text cut before the spaces that something visible follows, and nowhere else."""
+    head, *rest = text.split(" ")
+    parts, now = [], [head]
+    for word in rest:
+        if visible(word):
+            parts.append(" ".join(now))
+            now = ["", word]
+        else:
+            now.append(word)
+    return [(p,) for p in [*parts, " ".join(now)]]

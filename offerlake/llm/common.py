@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from offerlake.session import checkpoint_folder
 from offerlake.sources.tables import load
 
-__all__ = ["WordTable", "checksum", "labelled_texts", "load", "named_rows", "runs_of", "scratch", "stored", "text_slices"]
+__all__ = ["RecentTable", "WordTable", "checksum", "labelled_texts", "load", "named_rows", "runs_of", "scratch", "stored", "text_slices"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -93,3 +93,31 @@ class WordTable(dict):
         self.clear()
         self.rows = []
         return True
+
+
+class RecentTable(dict):
+    """Values of the words that a worker met lately, in two generations of at most ``most`` words each.
+
+    When the young one is full it becomes the old one; words that come up again
+    move over, so frequent words are described once and rare ones go.  Words
+    longer than ``length`` stay for one filling only, which bounds the memory.
+    """
+
+    def __init__(self, describe: Callable[[list], list], most: int = 200_000, length: int = 256):
+        super().__init__()
+        self.describe, self.most, self.length, self.old, self.brief = describe, most, length, {}, []
+
+    def fill(self, words: set) -> None:
+        """Afterwards every one of ``words`` has its value."""
+        for w in self.brief:
+            self.pop(w, None)
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = list(words)
+        known = [w for w in new if w in self.old]
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        rest = [w for w in new if w not in self.old]
+        self.update(zip(rest, self.describe(rest), strict=True))
+        self.brief = [w for w in rest if len(w[0] if isinstance(w, tuple) else w) > self.length]
