@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import stored, text_slices
+from offerlake.llm.common import RecentTable, stored, text_slices
 
 
 #: Ids of the words that this Python worker has met, per tokenizer file; tasks that run in it one after another share them.
-TABLES: dict[str, dict[str, bytes]] = {}
+TABLES: dict[str, RecentTable] = {}
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class CuttingStock:
     unit: int = 8
     tolerance: float = 5e-4
     steps: int = 4000
-    most: int = 400_000
+    most: int = 250_000
 
     # -- tokens --------------------------------------------------------------------------------------------------
 
@@ -48,7 +48,7 @@ class CuttingStock:
         """``(doc_id, start, length, ids_crc32, doc_tokens)``, with ``ids`` also the ids of the piece.
 
         White space always ends a token and is dropped, so each distinct word is
-        encoded once per Python worker (a table of about ``most`` words) and the ids of
+        encoded once per Python worker and table of recent words (two generations of ``most``) and the ids of
         a text are those of its words in order, then the end id.
         """
         capacity, end = self.capacity, np.array([self.end], "<u4").tobytes()
@@ -57,16 +57,13 @@ class CuttingStock:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            tokenizer, table = Tokenizer.from_file(self.path), TABLES.setdefault(self.path, {"": b""})
+            tokenizer = Tokenizer.from_file(self.path)
+            table = TABLES.setdefault(self.path, RecentTable(lambda new: _encoded(tokenizer, new), self.most))
             for batch in batches:
                 texts = [x or "" for x in batch["text"]]
                 for i, j in text_slices(texts, 1_000_000):
-                    if len(table) > self.most:
-                        table.clear()
-                        table[""] = b""
                     worded = [_spaced(t).split(" ") for t in texts[i:j]]
-                    new = [w for w in set().union(*worded) if w not in table]
-                    table.update(zip(new, _encoded(tokenizer, new), strict=True))
+                    table.fill(set().union(*worded))
                     out = []
                     for doc, words in zip(batch["doc_id"].iloc[i:j], worded, strict=True):
                         whole = b"".join([table[w] for w in words]) + end
