@@ -75,19 +75,32 @@ class FactorizationMachine:
 
         rows = labelled_texts(docs, labels, label, fold, self.sample).mapInPandas(run, "doc_id long, label int, terms binary").collect()
         rows.sort(key=lambda r: (r["doc_id"], bytes(r["terms"])))
-        return self.fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["label"] for r in rows], float))
+        y, lengths = np.array([r["label"] for r in rows], float), np.array([len(r["terms"]) // 4 for r in rows], np.int64)
+        flat = np.frombuffer(b"".join([r["terms"] for r in rows]), np.int32)
+        del rows
+        return self._fit(flat, lengths, y)
 
     def fit(self, sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
+        flat = np.concatenate([np.asarray(s, np.int32) for s in sets]) if len(sets) else np.zeros(0, np.int32)
+        return self._fit(flat, np.array([len(s) for s in sets], np.int64), y)
+
+    def _fit(self, flat: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> FactorizationMachine:
+        """Fitted to the terms of all texts in one row of 32-bit numbers, which is the only array as long as the texts together."""
         rng = np.random.default_rng(self.seed)
         empty = np.zeros(self.buckets), np.zeros((self.buckets, self.rank))
         if not len(y):
             return self._with(-10.0, *empty)
         share = min(max(y.mean(), 1e-4), 1 - 1e-4)
         b = float(np.log(share / (1 - share)))
-        lengths, flat = np.array([len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
         # evidence of a term: chi-square of its presence and the label, against somewhat more than the largest that chance gives among so many terms
-        of = np.repeat(y, lengths)
-        held, bad = np.bincount(flat, minlength=self.buckets), np.bincount(flat, of, self.buckets)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        held, bad = np.zeros(self.buckets), np.zeros(self.buckets)
+        for i in range(0, len(y), 1000):
+            part = slice(i, min(i + 1000, len(y)))
+            terms = flat[starts[part.start] : ends[part.stop - 1]]
+            held += np.bincount(terms, minlength=self.buckets)
+            bad += np.bincount(terms, np.repeat(y[part], lengths[part]), self.buckets)
         expected = held * y.mean()
         spread = expected * (1 - y.mean()) * (1 - held / len(y))
         chi = (bad - expected) ** 2 / np.maximum(spread, 1e-9)
@@ -95,12 +108,13 @@ class FactorizationMachine:
         chance = 2.6 * np.log(max(len(chosen), 2))
         reach = min(1.0, self.mass / max(lengths.mean(), 1)) + chi[chosen] ** 4 / (chi[chosen] ** 4 + chance**4)
         reach = reach[:, None].astype(np.float32)
-        number = np.full(self.buckets, -1)
+        number = np.full(self.buckets, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        doc, at = np.repeat(np.arange(len(y)), lengths), number[flat]
-        doc, at = doc[at >= 0], at[at >= 0]
-        lengths = np.bincount(doc, minlength=len(y))
-        starts = np.cumsum(lengths) - lengths
+        at = number[flat]
+        del flat, held, bad, expected, spread, chi
+        if (at < 0).any():
+            lengths = np.array([np.count_nonzero(at[i:j] >= 0) for i, j in zip(starts, ends, strict=True)], np.int64)
+            starts, at = np.cumsum(lengths) - lengths, at[at >= 0]
         # column 0 holds the weights, the others the factors; reach scales the steps, and shrinkage works on all terms alike
         p = (np.sqrt(reach) * np.pad(rng.normal(0, 0.05, (len(chosen), self.rank)), ((0, 0), (1, 0)))).astype(np.float32)
         moment, size, turn = np.zeros_like(p), np.zeros(2), 0
