@@ -46,7 +46,7 @@ def spec_dimensions(t: DriverTables) -> DataFrame:
     """,
 )
 def ranked_offers(t: DriverTables) -> DataFrame:
-    return browse.rank_offers(public_offers(t), sizes=t.fx_offers).select("offer_id", "variant_id", "offer_rank")
+    return browse.rank_offers(public_offers(t)).select("offer_id", "variant_id", "offer_rank")
 
 
 @check(
@@ -61,7 +61,7 @@ def ranked_offers(t: DriverTables) -> DataFrame:
 )
 def ranked_visible_plans(t: DriverTables) -> DataFrame:
     plans = views.public_installment_offers(t.fx_plans, t.fx_variants, t.fx_stores, t.fx_offers, AS_OF)
-    return browse.rank_visible_plans(plans, sizes=t.fx_plans).select("plan_id", "variant_id", "plan_rank")
+    return browse.rank_visible_plans(plans).select("plan_id", "variant_id", "plan_rank")
 
 
 @check("top_offers", "SELECT offer_key, CAST(cash_price AS DOUBLE) AS cash_price FROM fx_offers ORDER BY fx_offers.cash_price, offer_key LIMIT 50")
@@ -184,7 +184,7 @@ def variant_listing(t: DriverTables) -> DataFrame:
     """,
 )
 def materialized_comparisons(t: DriverTables) -> DataFrame:
-    ranked = browse.rank_offers(public_offers(t), sizes=t.fx_offers)
+    ranked = browse.rank_offers(public_offers(t))
     return browse.materialize_comparisons(ranked).select("variant_id", "offer_rank", "offer_id", "store_name", "comparable_total")
 
 

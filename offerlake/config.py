@@ -40,6 +40,8 @@ class MatchRules:
 class SkewRules:
     """When and how one key's rows are cut into slices.
 
+    Prefix scans cut every key at fixed places: each ``slice_days`` days of a
+    time, ``slices_per_octave`` steps for each doubling of a number.  For replays:
     A key is hot when it holds more than ``1 / max_hot_keys`` of all rows and
     more than ``min_rows`` rows, so there can never be more than
     ``max_hot_keys`` hot keys, whatever the data size.
@@ -48,6 +50,8 @@ class SkewRules:
     max_hot_keys: int = 4096
     min_rows: int = 1_000_000
     slices: int = 1024
+    slice_days: int = 90
+    slices_per_octave: int = 16
 
 
 PRICING = PricingRules()

@@ -1,15 +1,16 @@
 """Ordered per-key operations that stay spread when one key holds a large share of all rows.
 
-A key is hot when it has more than ``1 / max_hot_keys`` of all rows (and more
-than ``min_rows``).  One count per key, on the key columns alone, tells whether
-there is any; without one the plain window is used.  Otherwise the rows of a
-hot key are cut into slices along the ordering column, and whatever must cross
-a slice border is carried by one small row per slice.
-
-By counting, at most ``max_hot_keys`` keys can be hot, so the table of slice
-bounds (one short array per hot key) has a fixed size limit and is the only
-thing broadcast here.  The input is checkpointed before it is cut, because it
-is then read more than once.
+Previous rows, running sums and row numbers are prefix scans over slices.  A
+slice is a fixed function of the leading order column alone (so many days, or
+steps of a number's logarithm), so no job has to look at the data before the
+plan is built.  Whatever must cross a slice border is one row per key and slice,
+made by an aggregate that is combined before the shuffle, and it takes part in
+the slice's window as its first row.
+
+The replays cut hot keys by quantiles instead: a key is hot when it has more
+than ``1 / max_hot_keys`` of all rows (and more than ``min_rows``).  By
+counting, at most ``max_hot_keys`` keys can be hot, so the table of slice bounds
+has a fixed size limit and is the only thing broadcast here.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlake.config import SKEW, SkewRules
-from offerlake.session import checkpointed
 
 SLICE = "_slice"
 COLD = -1
@@ -63,6 +64,18 @@ def with_slices(df: DataFrame, bounds: DataFrame, keys: Sequence[str], lead: Col
     return joined.withColumn(SLICE, slice_number(lead)).drop(_BOUNDS, *["_h_" + k for k in keys])
 
 
+def fixed_slice(df: DataFrame, lead: Column, rules: SkewRules = SKEW) -> Column:
+    """Slice number of ``lead``, a time or a number, that never falls as ``lead`` rises; nulls come first."""
+    kind = df.select(lead.alias("lead")).schema["lead"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        day = F.unix_date(lead.cast("date"))
+        number = F.floor(day / rules.slice_days)
+    else:
+        x = lead.cast("double")
+        number = F.signum(x) * F.floor(F.log2(1 + F.abs(x)) * rules.slices_per_octave)
+    return F.coalesce(number.cast("bigint"), F.lit(-(2**62))).alias(SLICE)
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,47 +84,16 @@ def with_previous(
     rules: SkewRules = SKEW,
 ) -> DataFrame:
     """Add values of the previous row of the same key (``order`` ascending, its first column leads)."""
-    limit = hot_limit(df, keys, rules)
-    if limit is None:
-        frame = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(v).over(frame).alias(n) for n, v in values.items()])
-    df = checkpointed(df)
-    bounds = slice_bounds(df, keys, F.col(order[0]), limit, rules)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    hot = with_slices(df, bounds, keys, F.col(order[0]), "inner")
-    tails = hot.groupBy(*keys, SLICE).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    following = F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE))
-    carried = (
-        tails.withColumn("_to", following)
-        .filter(F.col("_to").isNotNull())
-        .select(*[F.col("_row")[c].alias(c) for c in df.columns], F.col("_to").alias(SLICE), F.lit(0).alias(_CARRY))
-    )
-    rows = with_slices(df, bounds, keys, F.col(order[0])).withColumn(_CARRY, F.lit(1)).unionByName(carried)
+    own = {n: f"_own_{n}" for n in values}
+    rows = df.withColumns({own[n]: v for n, v in values.items()} | {SLICE: fixed_slice(df, F.col(order[0]), rules)})
+    last = F.max_by(F.struct(*own.values()), F.struct(*order)).alias("_last")
+    borders = rows.groupBy(*keys, SLICE).agg(last)
+    carried = borders.withColumn("_to", F.lead(SLICE).over(Window.partitionBy(*keys).orderBy(SLICE)))
+    carried = carried.filter("_to IS NOT NULL").select(*keys, "_last.*", F.col("_to").alias(SLICE), F.lit(0).alias(_CARRY))
+    both = rows.withColumn(_CARRY, F.lit(1)).unionByName(carried, allowMissingColumns=True)
     frame = Window.partitionBy(*keys, SLICE).orderBy(_CARRY, *order)
-    out = rows.select("*", *[F.lag(v).over(frame).alias(n) for n, v in values.items()])
-    return out.filter(F.col(_CARRY) == 1).drop(SLICE, _CARRY)
-
-
-def _sliced_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence, lead: Column, amount: Column, alias: str, limit: int, rules: SkewRules
-) -> DataFrame:
-    bounds = slice_bounds(df, keys, lead, limit, rules)
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        with_slices(df, bounds, keys, lead, "inner")
-        .groupBy(*keys, SLICE)
-        .agg(F.sum(amount).alias("_sum"))
-        .select(
-            *[F.col(k).alias("_h_" + k) for k in keys],
-            F.col(SLICE).alias("_s"),
-            F.sum("_sum").over(before).alias("_offset"),
-        )
-    )
-    frame = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_slices(df, bounds, keys, lead).withColumn("_part", F.sum(amount).over(frame))
-    joined = rows.join(offsets, same_keys(rows, offsets, keys) & (rows[SLICE] == offsets["_s"]), "left")
-    total = F.col("_part") + F.coalesce(F.col("_offset"), F.lit(0))
-    return joined.withColumn(alias, total).drop(SLICE, "_part", "_offset", "_s", *["_h_" + k for k in keys])
+    out = both.select(*df.columns, _CARRY, *[F.lag(own[n]).over(frame).alias(n) for n in values])
+    return out.filter(F.col(_CARRY) == 1).drop(_CARRY)
 
 
 def with_running_sum(
@@ -124,11 +106,13 @@ def with_running_sum(
     rules: SkewRules = SKEW,
 ) -> DataFrame:
     """Inclusive running sum per key; ``lead`` must rise with ``order``."""
-    limit = hot_limit(df, keys, rules)
-    if limit is None:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(alias, F.sum(amount).over(frame))
-    return _sliced_sum(checkpointed(df), keys, order, lead, amount, alias, limit, rules)
+    rows = df.withColumns({"_amount": amount, SLICE: fixed_slice(df, lead, rules)})
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, SLICE).agg(F.sum("_amount").alias("_sum"))
+    carried = sums.withColumn("_amount", F.sum("_sum").over(before)).filter("_amount IS NOT NULL").select(*keys, SLICE, "_amount", F.lit(0).alias(_CARRY))
+    both = rows.withColumn(_CARRY, F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    frame = Window.partitionBy(*keys, SLICE).orderBy(_CARRY, *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(alias, F.sum("_amount").over(frame)).filter(F.col(_CARRY) == 1).drop("_amount", SLICE, _CARRY)
 
 
 def with_row_numbers(
@@ -136,24 +120,26 @@ def with_row_numbers(
     keys: Sequence[str],
     orders: Mapping[str, tuple[Sequence[Column | str], Column]],
     rules: SkewRules = SKEW,
-    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Number every row of each key under several orders: ``{alias: (order, lead)}``.
+    """Number every row of each key under several orders: ``{alias: (order, lead)}``; ``lead`` is numeric and rises with its order.
 
-    ``lead`` is numeric and rises with its order.  ``sizes`` may name a cheaper
-    table with the same key distribution for the hot-key probe.
+    The rows before each slice are counted for all orders at once, so ``df`` is
+    read twice however many orders there are.
     """
-    limit = hot_limit(df if sizes is None else sizes, keys, rules)
-    if limit is None:
-        numbers = {
-            alias: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) for alias, (order, _) in orders.items()
-        }
-        return df.withColumns(numbers)
-    out = checkpointed(df)
-    for alias, (order, lead) in orders.items():
-        out = _sliced_sum(out, keys, order, lead, F.lit(1), alias, limit, rules)
-        out = out.withColumn(alias, F.col(alias).cast("int"))
-    return out
+    slices = {alias: f"{SLICE}_{alias}" for alias in orders}
+    rows = df.withColumns({slices[a]: fixed_slice(df, lead, rules) for a, (_, lead) in orders.items()})
+    each = F.array(*[F.struct(F.lit(a).alias("_of"), F.col(s).alias(SLICE)) for a, s in slices.items()])
+    counts = rows.select(*keys, F.inline(each)).groupBy(*keys, "_of", SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys, "_of").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("_before", F.sum("_n").over(before)).filter("_before IS NOT NULL").select(
+        *keys, F.lit(0).alias(_CARRY), *[F.when(F.col("_of") == a, F.col(c)).alias(n) for a, s in slices.items() for c, n in ((SLICE, s), ("_before", f"_n_{a}"))]
+    )
+    # a border row of another order has no slice here, and so no row beside it
+    both = rows.withColumns({_CARRY: F.lit(1)} | {f"_n_{a}": F.lit(1).cast("bigint") for a in orders}).unionByName(carried, allowMissingColumns=True)
+    for alias, (order, _) in orders.items():
+        frame = Window.partitionBy(*keys, slices[alias]).orderBy(_CARRY, *order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(alias, F.sum(f"_n_{alias}").over(frame).cast("int"))
+    return both.filter(F.col(_CARRY) == 1).drop(_CARRY, *slices.values(), *[f"_n_{a}" for a in orders])
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def spec_dimensions(specs: DataFrame, order: Sequence[str]) -> DataFrame:
     return names.withColumn("position", position_in(F.col("name"), order))
 
 
-def rank_offers(offers: DataFrame, skew: SkewRules = SKEW, sizes: DataFrame | None = None) -> DataFrame:
+def rank_offers(offers: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
     """Comparison order per variant: eligible, cheapest delivered, freshest, most available, by store name."""
     cost = F.coalesce("comparable_total", "cash_price").cast("double")
     first = (~F.col("eligible_for_ranking")).cast("int")
@@ -59,10 +59,10 @@ def rank_offers(offers: DataFrame, skew: SkewRules = SKEW, sizes: DataFrame | No
         "offer_id",
     ]
     lead = first.cast("double") * 1e12 + F.coalesce(cost, F.lit(9e11))
-    return with_row_numbers(offers, ["variant_id"], {"offer_rank": (order, lead)}, skew, sizes)
+    return with_row_numbers(offers, ["variant_id"], {"offer_rank": (order, lead)}, skew)
 
 
-def rank_visible_plans(plans: DataFrame, skew: SkewRules = SKEW, sizes: DataFrame | None = None) -> DataFrame:
+def rank_visible_plans(plans: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
     """Comparison order of instalment plans per variant."""
     first = (~F.col("eligible_for_ranking")).cast("int") * 10 + position_in(F.col("computed_freshness"), FRESHNESS_RANK)
     order = [
@@ -74,7 +74,7 @@ def rank_visible_plans(plans: DataFrame, skew: SkewRules = SKEW, sizes: DataFram
         "store_name",
         "plan_id",
     ]
-    return with_row_numbers(plans, ["variant_id"], {"plan_rank": (order, first.cast("double"))}, skew, sizes)
+    return with_row_numbers(plans, ["variant_id"], {"plan_rank": (order, first.cast("double"))}, skew)
 
 
 def top_k(df: DataFrame, order: Sequence[Column | str], k: int, by: Sequence[str] = ()) -> DataFrame:

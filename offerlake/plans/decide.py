@@ -149,7 +149,7 @@ def with_reasons(scored: DataFrame, limit: int = 4) -> DataFrame:
     return scored.withColumn("reasons", F.slice(reasons, 1, limit))
 
 
-def mode_orders(scored: DataFrame, skew: SkewRules = SKEW, sizes: DataFrame | None = None) -> DataFrame:
+def mode_orders(scored: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
     """Ranks of every offer under the cheapest, safest and fastest orders (clear offers first)."""
     review = (~F.col("is_clear")).cast("int")
 
@@ -161,7 +161,7 @@ def mode_orders(scored: DataFrame, skew: SkewRules = SKEW, sizes: DataFrame | No
         "safest_rank": order(-F.col("safety_score")),
         "fastest_rank": order(-F.col("delivery_component")),
     }
-    return with_row_numbers(scored, ["variant_id"], orders, skew, sizes)
+    return with_row_numbers(scored, ["variant_id"], orders, skew)
 
 
 def rank_plans(plans: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
@@ -177,7 +177,7 @@ def rank_plans(plans: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
     same = ["variant_id", "store_id", "_provider", "months", "periodic_payment", "_down", "final_installment_cost"]
     distinct = earliest_per(costed, same, ["plan_id"]).drop("_provider", "_down")
     order = (["final_installment_cost", "plan_id"], F.col("final_installment_cost"))
-    ranked = with_row_numbers(distinct, ["variant_id"], {"installment_rank": order}, skew, plans)
+    ranked = with_row_numbers(distinct, ["variant_id"], {"installment_rank": order}, skew)
     cash, monthly = F.col("cash_price_at_observation"), F.col("periodic_payment")
     trap = (monthly < cash * 0.08) & (F.col("final_installment_cost") > cash * 1.18)
     return ranked.withColumns(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from offerlake.config import SkewRules
 from offerlake.operators import ledger, replay, skew
 
-HOT = SkewRules(max_hot_keys=1000, min_rows=20, slices=7)
+HOT = SkewRules(max_hot_keys=1000, min_rows=20, slices=7, slice_days=3, slices_per_octave=2)
 START = datetime(2024, 1, 1)
 
 
@@ -97,3 +97,40 @@ def test_market_median_across_slices(obs):
     for rules in (SkewRules(), HOT):
         got = {r["obs_id"]: r["market_median"] for r in replay.with_market_median(obs, 30, skew=rules).collect()}
         assert got == expected
+
+
+NO_JOBS = (
+    "change_types", "ledger_change_types", "compacted_ledger", "failure_streaks", "price_changes", "ranked_offers", "ranked_visible_plans", "mode_orders", "ranked_plans",
+)
+
+
+def test_building_an_ordered_query_runs_no_job(spark):
+    import checks
+
+    checks.load_all()
+    context = spark.sparkContext
+    context.setJobGroup("building", "plans only")
+    for name in NO_JOBS:
+        checks.QUERIES[name](spark, "/root/testdata/sf0.001")
+    jobs = context.statusTracker().getJobIdsForGroup("building")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # each table's footer is read once for its schema; nothing else may run
+    readers = {context.statusTracker().getJobInfo(j).jobId for j in jobs}
+    assert len(readers) <= 14 * len(NO_JOBS) and not any(len(context.statusTracker().getJobInfo(j).stageIds) > 1 for j in jobs)
+
+
+def test_slices_never_fall(spark):
+    frame = spark.sql("SELECT CAST(id - 500 AS DOUBLE) * abs(id - 500) AS x, timestamp_ntz '2020-01-01' + make_interval(0, 0, 0, CAST(id AS INT)) AS t FROM range(1000)")
+    for lead in ("x", "t"):
+        w = Window.orderBy(lead)
+        steps = frame.withColumn("s", skew.fixed_slice(frame, F.col(lead))).withColumn("before", F.lag("s").over(w))
+        assert steps.filter("before > s").count() == 0 and steps.select("s").distinct().count() > 5
+    assert frame.limit(1).select(skew.fixed_slice(frame, F.lit(None).cast("double"))).first()[0] == -(2**62)
+
+
+def test_row_numbers_of_several_orders(obs):
+    orders = {"n": (["cash_price", "obs_id"], F.col("cash_price")), "m": ([F.col("cash_price").desc(), "obs_id"], -F.col("cash_price"))}
+    expected = obs
+    for alias, (order, _) in orders.items():
+        expected = expected.withColumn(alias, F.row_number().over(Window.partitionBy("offer_key").orderBy(*order)))
+    assert rows_of(skew.with_row_numbers(obs, ["offer_key"], orders, HOT), "obs_id", "n", "m") == rows_of(expected, "obs_id", "n", "m")
