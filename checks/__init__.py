@@ -78,4 +78,4 @@ def check(name: str, sql: str | None = None) -> Callable:
 
 
 def load_all() -> None:
-    from checks import browse, catalog, decisions, extraction, ledger, matching, runs, serving, standard, streams  # noqa: F401
+    from checks import browse, catalog, decisions, dimensions, extraction, ledger, matching, runs, serving, standard, streams  # noqa: F401

@@ -608,6 +608,29 @@ def import_summary(items: DataFrame, run: str = "import_id") -> DataFrame:
     return counts.withColumn("status", status)
 
 
+# What a candidate says of its product; a change of any asks for a new decision.
+RECONCILED = ("normalized_url", "title", "brand", "sku", "gtin", "currency", "observed_price", "availability")
+
+
+def merge_candidates(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stored candidates with those of a new scan: unknown ones start at version 0, changed ones go back to it, equal ones keep their decision.
+
+    Both have candidate_id, ``last_seen_at`` and the ``RECONCILED`` columns, the
+    stored ones also match_version and checked_at.  Of several rows of a scan
+    with one id the latest counts.
+    """
+    values = lambda: F.struct(*RECONCILED)
+    newest = seen.groupBy("candidate_id").agg(F.max_by(F.struct(values().alias("said"), "last_seen_at"), F.struct("last_seen_at", values())).alias("new"))
+    old = stored.select("candidate_id", F.struct(values().alias("said"), "last_seen_at", "match_version", "checked_at").alias("old"))
+    both = old.join(newest, "candidate_id", "full")
+    changed = F.col("new").isNotNull() & ~F.col("new.said").eqNullSafe(F.col("old.said"))
+    now = F.coalesce("new", F.struct("old.said", "old.last_seen_at"))
+    return both.select(
+        "candidate_id", now["said"].alias("said"), now["last_seen_at"].alias("last_seen_at"),
+        F.when(changed, 0).otherwise(F.coalesce("old.match_version", F.lit(0))).alias("match_version"), F.when(~changed, F.col("old.checked_at")).alias("checked_at"),
+    ).select("candidate_id", "said.*", "last_seen_at", "match_version", "checked_at")
+
+
 def due_for_reconcile(candidates: DataFrame, version: int, cursor: str | None = None, limit: int | None = None) -> DataFrame:
     """Candidates matched under an older rule version, after a cursor, in id order."""
     due = candidates.filter(F.coalesce("match_version", F.lit(0)) < version)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlake.config import SKEW, SkewRules
+from offerlake.config import PRICING, SKEW, SkewRules
 from offerlake.functions import text
 from offerlake.operators.skew import earliest_per, top_per, with_row_numbers
 
@@ -182,6 +182,35 @@ def materialize_comparisons(ranked_offers: DataFrame) -> DataFrame:
     return product_comparison(ranked_offers)
 
 
+def comparison_entries(ranked_offers: DataFrame, ranked_plans: DataFrame) -> DataFrame:
+    """What the comparison document of a product holds, one row per entry: all its offers, then all its instalment plans, each in rank order."""
+    cash = lambda c: F.col(c).cast("decimal(18,2)")
+    none = lambda kind: F.lit(None).cast(kind)
+    offers = ranked_offers.select(
+        "variant_id", F.lit("offer").alias("kind"), F.col("offer_rank").alias("rank"), F.col("offer_id").cast("bigint").alias("entry_id"), "store_name",
+        none("string").alias("provider_name"), cash("cash_price").alias("amount"), cash("comparable_total").alias("total"), none("int").alias("months"),
+        "computed_freshness", "availability", "eligible_for_ranking",
+    )
+    plans = ranked_plans.select(
+        "variant_id", F.lit("plan").alias("kind"), F.col("plan_rank").alias("rank"), F.col("plan_id").cast("bigint").alias("entry_id"), "store_name",
+        "provider_name", cash("periodic_payment").alias("amount"), cash("normalized_total").alias("total"), F.col("months").cast("int").alias("months"),
+        "computed_freshness", none("string").alias("availability"), "eligible_for_ranking",
+    )
+    return offers.unionByName(plans)
+
+
+def write_comparisons(entries: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """The entries as table ``table`` at ``path``, bucketed by product and sorted inside: a read of one product opens one bucket."""
+    placed = entries.repartition(buckets, "variant_id")
+    placed.write.bucketBy(buckets, "variant_id").sortBy("variant_id", "kind", "rank").option("path", path).mode("overwrite").saveAsTable(table)
+    return entries.sparkSession.table(table)
+
+
+def comparison_of(table: DataFrame, variant_id: object) -> DataFrame:
+    """The document of one product in reading order."""
+    return table.filter(F.col("variant_id") == variant_id).orderBy("kind", "rank")
+
+
 def model_groups(products: DataFrame) -> DataFrame:
     """Products grouped by normalised brand and model, with a representative and the number of variants."""
     key = F.concat_ws("|", text.normalized_text(F.col("brand")), text.normalized_text(F.coalesce("model", "canonical_name")))
@@ -251,6 +280,14 @@ def matrix_diff(matrix: DataFrame) -> DataFrame:
     return matrix.filter(F.size(F.array_distinct(values)) > 1)
 
 
+def alternative_costs(cash: DataFrame, plans: DataFrame, floor: float = PRICING.floor) -> DataFrame:
+    """Lowest true cost per variant over clear offers whose price and cost reach ``floor``, and lowest instalment total; variants with neither have no row."""
+    clear = cash.filter((F.col("anomaly_status") == "clear") & (F.col("cash_price") >= floor) & (F.col("final_cost") >= floor))
+    lowest = clear.groupBy("variant_id").agg(F.min("final_cost").alias("lowest_final_cost"))
+    total = plans.groupBy("variant_id").agg(F.min("final_installment_cost").alias("lowest_installment_total")).filter("lowest_installment_total IS NOT NULL")
+    return lowest.join(total, "variant_id", "full")
+
+
 def alternatives(requested: DataFrame, variants: DataFrame, costs: DataFrame, k: int = 12) -> DataFrame:
     """Best ``k`` alternatives in the same category for each requested variant.
 

@@ -125,6 +125,31 @@ def refresh_stale(metrics: DataFrame, fresh: DataFrame, as_of: str | Column, hou
     return kept.unionByName(fresh.join(kept.select("store_id"), "store_id", "left_anti"))
 
 
+def refreshed_store_quality(
+    metrics: DataFrame,
+    stores: DataFrame,
+    listings: DataFrame,
+    offers: DataFrame,
+    tasks: DataFrame,
+    reports: DataFrame,
+    as_of: str | Column,
+    tasks_as_of: str | Column | None = None,
+    hours: int = 6,
+) -> DataFrame:
+    """Stored metrics, those older than ``hours`` and those missing calculated again.
+
+    Every input is cut to the stale stores before it is grouped, so the work
+    follows the stores that are due.  Stored stores that are gone are dropped.
+    """
+    young = metrics.filter(F.col("calculated_at") >= hours_before(moment(as_of), hours))
+    due = stores.join(young.select("store_id"), "store_id", "left_anti")
+    stale = due.select("store_id")
+    only = lambda df: df.join(stale, "store_id", "left_semi")
+    again = store_quality(due, only(listings), only(offers), only(tasks), only(reports), as_of, tasks_as_of)
+    kept = young.join(stores.select("store_id"), "store_id", "left_semi")
+    return kept.unionByName(again.select(*metrics.columns))
+
+
 def count_totals(tables: Mapping[str, tuple[DataFrame, Column | None]]) -> DataFrame:
     """One row ``(metric, value)`` per named, optionally filtered, table count."""
     rows = [
