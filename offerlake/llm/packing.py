@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from offerlake.llm.common import RecentTable, stored, text_slices
 
 
-#: Ids of the words that this Python worker has met, per tokenizer file; tasks that run in it one after another share them.
-TABLES: dict[str, RecentTable] = {}
-
-
 @dataclass(frozen=True)
 class CuttingStock:
     """Documents as tokens in sequences of at most ``capacity``.
@@ -40,7 +36,7 @@ class CuttingStock:
     unit: int = 8
     tolerance: float = 5e-4
     steps: int = 4000
-    most: int = 250_000
+    most: int = 100_000
 
     # -- tokens --------------------------------------------------------------------------------------------------
 
@@ -48,7 +44,7 @@ class CuttingStock:
         """``(doc_id, start, length, ids_crc32, doc_tokens)``, with ``ids`` also the ids of the piece.
 
         White space always ends a token and is dropped, so each distinct word is
-        encoded once per Python worker and table of recent words (two generations of ``most``) and the ids of
+        encoded once per task and table of recent words (two generations of ``most``) and the ids of
         a text are those of its words in order, then the end id.
         """
         capacity, end = self.capacity, np.array([self.end], "<u4").tobytes()
@@ -58,7 +54,7 @@ class CuttingStock:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(self.path)
-            table = TABLES.setdefault(self.path, RecentTable(lambda new: _encoded(tokenizer, new), self.most))
+            table = RecentTable(lambda new: _encoded(tokenizer, new), self.most)
             for batch in batches:
                 texts = [x or "" for x in batch["text"]]
                 for i, j in text_slices(texts, 1_000_000):
