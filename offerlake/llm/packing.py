@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 
 from offerlake.llm.common import RecentTable, stored, text_slices
 
+# Letters whose class, lower case and composition are the same in every Unicode version; others take the slower way.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ɏ]*").fullmatch
+# The units that the tokenizer sees in a lower-cased text; each of them ends its own last token.
+_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\t-\r a-zß-öø-ɏ0-9]+").findall
+_UNIT_END = "</w>"
+
 
 @dataclass(frozen=True)
 class CuttingStock:
@@ -43,9 +50,12 @@ class CuttingStock:
     def pieces(self, docs: DataFrame, ids: bool = False) -> DataFrame:
         """``(doc_id, start, length, ids_crc32, doc_tokens)``, with ``ids`` also the ids of the piece.
 
-        White space always ends a token and is dropped, so each distinct word is
-        encoded once per task and table of recent words (two generations of ``most``) and the ids of
-        a text are those of its words in order, then the end id.
+        Tokens never cross the units that a text falls into (letter runs, digits,
+        runs of signs), so each distinct unit is encoded once per task and table
+        of recent units (two generations of ``most``) and the ids of a text are
+        those of its units in order, then the end id.  A text with letters
+        beyond extended Latin or with a special token falls into words at white
+        space instead.
         """
         capacity, end = self.capacity, np.array([self.end], "<u4").tobytes()
 
@@ -54,15 +64,19 @@ class CuttingStock:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(self.path)
-            table = RecentTable(lambda new: _encoded(tokenizer, new), self.most)
+            last = np.zeros(tokenizer.get_vocab_size(), bool)
+            last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(_UNIT_END)]] = True
+            tables = RecentTable(lambda new: _encoded(tokenizer, new), self.most), RecentTable(lambda new: _encoded_units(tokenizer, new, last), self.most)
             for batch in batches:
                 texts = [x or "" for x in batch["text"]]
                 for i, j in text_slices(texts, 1_000_000):
-                    worded = [_spaced(t).split(" ") for t in texts[i:j]]
-                    table.fill(set().union(*worded))
+                    plain = [_PLAIN(t) is not None and "<|" not in t for t in texts[i:j]]
+                    parts = [_UNITS(t.lower()) if p else _spaced(t).split(" ") for t, p in zip(texts[i:j], plain, strict=True)]
+                    for kind in (False, True):
+                        tables[kind].fill(set().union(*(found for found, p in zip(parts, plain, strict=True) if p is kind)))
                     out = []
-                    for doc, words in zip(batch["doc_id"].iloc[i:j], worded, strict=True):
-                        whole = b"".join([table[w] for w in words]) + end
+                    for doc, found, p in zip(batch["doc_id"].iloc[i:j], parts, plain, strict=True):
+                        whole = b"".join(map(tables[p].__getitem__, found)) + end
                         for at in range(0, len(whole), 4 * capacity):
                             part = whole[at : at + 4 * capacity]
                             out.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(whole) // 4) + ((np.frombuffer(part, "<u4").astype(np.int32),) if ids else ()))
@@ -212,3 +226,16 @@ def _encoded(tokenizer, words: list[str], group: int = 256) -> list[bytes]:
         ids = np.array(found.ids, "<u4").tobytes()
         out += [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
     return out
+
+
+def _encoded_units(tokenizer, units: list[str], last: np.ndarray, group: int = 512) -> list[bytes]:
+    """Ids of each unit; a unit is over where a token is one of ``last``."""
+    parts = [units[i : i + group] for i in range(0, len(units), group)]
+    out: list[bytes] = []
+    for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        ids = np.array(found.ids, "<u4")
+        whole, cuts = ids.tobytes(), ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+        out += [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        if len(cuts) != len(part):
+            raise ValueError("the tokenizer does not end its units with the expected mark")
+    return out

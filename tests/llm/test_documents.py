@@ -211,6 +211,21 @@ def test_packing(docs, no_docs, real):
     assert CuttingStock(WORDS).packed(docs).count() >= docs.count()
 
 
+def test_tokens_of_odd_texts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    alphabet = [*map(chr, range(128)), *"ÀÉÎõßẞİıŸſǅÿ×÷²½ªµ΄Σςа́", "'s", "'LL", " 're", "<|endoftext|>", "\x85", "\u2028", "\u200b"]
+    texts = ["".join(rng.choice(alphabet[: 128 if i % 2 else None], rng.integers(0, 60)).tolist()) for i in range(2000)]
+    texts += ["".join(rng.choice([*"abé 's!1"], 5000).tolist()), "!" * 3000 + "7" * 3000, "it'S we'LL I'd 'Tis", "\x1c\x1fa\x00b"]
+    tokenizer = Tokenizer.from_file(WORDS)
+    found = CuttingStock(WORDS, capacity=1 << 20, most=300).pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    held = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in found.collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert held[i] == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(1)
     demand = dict(enumerate(rng.integers(0, 50, 128).tolist(), 1))
