@@ -272,17 +272,25 @@ def gate_fuzzy(items: DataFrame, keys: DataFrame) -> DataFrame:
 # --- similarity join ---------------------------------------------------------------------
 
 
+def gram_frequency(texts: DataFrame) -> DataFrame:
+    """``(gram, n)``: in how many rows of ``grams`` each trigram occurs."""
+    return texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(left_text, right_text, similarity)`` of distinct texts with trigram similarity of at least ``threshold``.
 
-    Two sets this similar share one of their rarest trigrams, so only each
-    text's rarest ``n - ceil(threshold * n) + 1`` trigrams are joined and the
-    trigrams that most texts have never meet.  Equal texts are compared once.
+    The trigrams of a text are put in one order, rarest first.  Two sets this
+    similar meet in their first ``n - ceil(threshold * n) + 1`` trigrams, so only
+    those are joined and the trigrams that most texts have rarely meet.  A pair
+    stays open while its sizes allow the threshold and the trigrams met so far,
+    with all that follow the last of them, could still reach it; open pairs are
+    compared in full.  Equal texts are compared once.
     """
     grams = text.trigrams(F.col("text"))
     lefts = left.select("text").distinct().withColumn("grams", grams).filter(F.size("grams") > 0)
     rights = right.select("text").distinct().withColumn("grams", grams).filter(F.size("grams") > 0)
-    frequency = rights.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    frequency = gram_frequency(rights)
 
     def rarest(side: DataFrame, alias: str) -> DataFrame:
         spread = side.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
@@ -290,9 +298,16 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
             F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("ordered")
         )
         kept = F.slice("ordered", 1, F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
-        return ordered.select(F.col("text").alias(alias), F.explode(F.transform(kept, lambda g: g["gram"])).alias("gram"))
-
-    pairs = rarest(lefts, "left_text").join(rarest(rights, "right_text"), "gram").select("left_text", "right_text").distinct()
+        return ordered.select(
+            F.col("text").alias(f"{alias}_text"), F.col("size").alias(f"{alias}_size"),
+            F.posexplode(F.transform(kept, lambda g: g["gram"])).alias(f"{alias}_at", "gram"),
+        )
+
+    sizes = (F.col("left_size") >= F.col("right_size") * threshold - 1e-9) & (F.col("right_size") >= F.col("left_size") * threshold - 1e-9)
+    met = rarest(lefts, "left").join(rarest(rights, "right"), "gram").filter(sizes)
+    after = F.least(F.col("left_size") - F.max("left_at"), F.col("right_size") - F.max("right_at")) - 1
+    pairs = met.groupBy("left_text", "right_text", "left_size", "right_size").agg((F.count(F.lit(1)) + after).alias("most"))
+    pairs = pairs.filter(F.col("most") * (1 + threshold) >= (F.col("left_size") + F.col("right_size")) * threshold - 1e-6).select("left_text", "right_text")
     full = pairs.join(lefts.select(F.col("text").alias("left_text"), F.col("grams").alias("_l")), "left_text").join(
         rights.select(F.col("text").alias("right_text"), F.col("grams").alias("_r")), "right_text"
     )

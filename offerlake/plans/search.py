@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.functions import text
+from offerlake.operators import matching
 from offerlake.operators.skew import top_per
 from offerlake.plans.browse import published
 
@@ -20,15 +21,32 @@ def search(variants: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return rows.orderBy("name_hit", F.desc("relevance"), "canonical_name", "variant_id").limit(limit)
 
 
+def texts_holding(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(key, text)`` where the text contains the key; both sides have ``grams``.
+
+    A text that contains a key has every trigram inside the key's words, so each
+    key meets only the texts that have the rarest of those.  Keys whose words
+    are all shorter meet the texts that share one of their padded trigrams.
+    """
+    inside = F.filter("grams", lambda g: ~g.contains(" "))
+    leads = keys.select("key", F.explode(F.when(F.size(inside) > 0, inside).otherwise(F.col("grams"))).alias("gram"))
+    counted = leads.join(matching.gram_frequency(texts), "gram").withColumn("short", F.col("gram").contains(" "))
+    rare = counted.filter("NOT short").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    lead = rare.unionByName(counted.filter("short").select("key", "gram"))
+    spread = texts.select("text", F.explode("grams").alias("gram"))
+    return lead.join(spread, "gram").filter(F.contains(F.col("text"), F.col("key"))).select("key", "text").distinct()
+
+
 def smart_search(
     queries: DataFrame, variants: DataFrame, aliases: DataFrame, k: int = 20, alias_threshold: float = 0.18, threshold: float = 0.12
 ) -> DataFrame:
     """Best ``k`` variants per query: document, name, alias similarity or an exact code.
 
     ``queries`` has query_id and query; ``variants`` has search_document; ``aliases``
-    has variant_id and normalized_alias.  Trigrams are matched through an
-    inverted table and counted, so a query meets only texts it shares
-    trigrams with; equal texts are compared once.
+    has variant_id and normalized_alias.  Documents and aliases are found by the
+    filters of the similarity join or by the rarest trigram of a contained
+    query; names only raise the score of what is found, so they are compared
+    for those variants alone.  Equal texts are compared once.
     """
     q = queries.withColumn("key", text.search_key(F.col("query"))).filter(F.col("key") != "")
     keys = q.select("key").distinct().withColumn("grams", text.trigrams(F.col("key")))
@@ -36,37 +54,32 @@ def smart_search(
         "variant_id", "search_document", F.lower("canonical_name").alias("name"),
         F.lower(F.coalesce("manufacturer_sku", F.lit(""))).alias("sku"), F.lower(F.coalesce("gtin", F.lit(""))).alias("gtin"),
     )
-    texts = (
-        live.select(F.col("search_document").alias("text"))
-        .unionByName(live.select(F.col("name").alias("text")))
-        .unionByName(aliases.select(F.col("normalized_alias").alias("text")))
-        .distinct()
+    texts = live.select(F.col("search_document").alias("text")).unionByName(aliases.select(F.col("normalized_alias").alias("text"))).distinct()
+    alike = matching.similarity_join(keys.select(F.col("key").alias("text")), texts, min(threshold, alias_threshold))
+    alike = alike.select(F.col("left_text").alias("key"), F.col("right_text").alias("text"), "similarity", F.lit(False).alias("holds"))
+    held = texts_holding(keys, texts.withColumn("grams", text.trigrams(F.col("text"))))
+    held = held.withColumn("similarity", text.trigram_similarity(text.trigrams(F.col("key")), text.trigrams(F.col("text"))))
+    near = alike.unionByName(held.withColumn("holds", F.lit(True)))
+    documents = near.filter(F.col("holds") | (F.col("similarity") > threshold)).join(
+        live.select("variant_id", F.col("search_document").alias("text")), "text"
     )
-    texts = texts.withColumn("grams", text.trigrams(F.col("text")))
-    left = keys.select("key", F.size("grams").alias("kn"), F.explode("grams").alias("gram"))
-    right = texts.select("text", F.size("grams").alias("tn"), F.explode("grams").alias("gram"))
-    shared = left.join(right, "gram").groupBy("key", "text", "kn", "tn").agg(F.count(F.lit(1)).alias("c"))
-    alike = shared.select("key", "text", (F.col("c") / (F.col("kn") + F.col("tn") - F.col("c"))).alias("similarity"))
-
-    documents = alike.join(live.select("variant_id", F.col("search_document").alias("text")), "text")
-    documents = documents.filter(
-        (F.col("similarity") > threshold) | F.col("text").contains(F.col("key"))
-    ).select("key", "variant_id", "similarity", F.lit(True).alias("entry"))
-    names = alike.join(live.select("variant_id", F.col("name").alias("text")), "text").select(
-        "key", "variant_id", "similarity", F.lit(False).alias("entry")
-    )
-    named = alike.filter((F.col("similarity") > alias_threshold) | F.col("text").contains(F.col("key")))
-    by_alias = named.join(aliases.select("variant_id", F.col("normalized_alias").alias("text")), "text").select(
-        "key", "variant_id", "similarity", F.lit(True).alias("entry")
+    by_alias = near.filter(F.col("holds") | (F.col("similarity") > alias_threshold)).join(
+        aliases.select("variant_id", F.col("normalized_alias").alias("text")), "text"
     )
     codes = live.select("variant_id", F.explode(F.array("sku", "gtin")).alias("key")).filter(F.col("key") != "")
-    exact = keys.select("key").join(codes, "key").select("key", "variant_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("entry"))
-    scores = (
-        documents.unionByName(names).unionByName(by_alias).unionByName(exact).groupBy("key", "variant_id").agg(
-            F.max("similarity").alias("search_score"), F.bool_or("entry").alias("entry")
-        )
+    exact = keys.select("key").join(codes, "key").select("key", "variant_id", F.lit(1.0).alias("similarity"))
+    entered = (
+        documents.select("key", "variant_id", "similarity").unionByName(by_alias.select("key", "variant_id", "similarity")).unionByName(exact)
+        .groupBy("key", "variant_id").agg(F.max("similarity").alias("score"))
+    )
+    named = entered.join(live.select("variant_id", "name"), "variant_id", "left")
+    by_name = named.select("key", "name").distinct().withColumn(
+        "by_name", text.trigram_similarity(text.trigrams(F.col("key")), text.trigrams(F.col("name")))
+    )
+    scores = named.join(by_name, ["key", "name"], "left").select(
+        "key", "variant_id", F.greatest("score", F.coalesce("by_name", F.lit(0.0))).alias("search_score")
     )
-    found = scores.filter("entry").join(published(variants).filter("active").select("variant_id", "canonical_name"), "variant_id")
+    found = scores.join(published(variants).filter("active").select("variant_id", "canonical_name"), "variant_id")
     best = top_per(found, ["key"], [F.desc("search_score"), "canonical_name", "variant_id"], k)
     rows = q.select("query_id", "key").join(best, "key")
     suggestion = F.when((F.col("rank") == 1) & (F.col("search_score") >= 0.25), F.col("canonical_name"))
