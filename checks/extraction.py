@@ -97,16 +97,19 @@ def suppressed_fallbacks(t: DriverTables) -> DataFrame:
 @check(
     "price_clusters",
     """
-    SELECT obs_id, variant_id, CAST(cash_price AS DOUBLE) AS current, CAST(CASE WHEN old_price > cash_price THEN old_price END AS DOUBLE) AS old
-    FROM fx_observations WHERE old_price IS NULL OR old_price >= cash_price
+    WITH p AS (SELECT obs_id, variant_id, CAST(cash_price AS DOUBLE) AS cash, CAST(cash_price AS DOUBLE) / 12 AS monthly, CAST(old_price AS DOUBLE) AS old_price
+        FROM fx_observations),
+    b AS (SELECT *, LEAST(cash, monthly, old_price) AS low, GREATEST(cash, monthly, old_price) AS high FROM p),
+    v AS (SELECT obs_id, variant_id, list_filter([cash, monthly, old_price], lambda x: x IS NOT NULL AND (high / low < 3 OR x >= high / 2)) AS kept FROM b),
+    c AS (SELECT obs_id, variant_id, list_min(kept) AS current, list_max(kept) AS top FROM v)
+    SELECT obs_id, variant_id, current, CASE WHEN top > current THEN top END AS old FROM c
     """,
 )
 def price_clusters(t: DriverTables) -> DataFrame:
-    rows = t.fx_observations.filter("old_price IS NULL OR old_price >= cash_price")
     monthly = F.col("cash_price").cast("double") / 12
     prices = F.array(F.col("cash_price").cast("double"), monthly, F.col("old_price").cast("double"))
     split = ex.split_price_cluster(prices, F.lit("Pay monthly or cash"))
-    return rows.select("obs_id", "variant_id", split["current"].alias("current"), split["old"].alias("old"))
+    return t.fx_observations.select("obs_id", "variant_id", split["current"].alias("current"), split["old"].alias("old"))
 
 
 @check(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks.standard import with_publishable
+from offerlake.config import MATCHING
 from offerlake.functions import ids
 from offerlake.operators import matching
 from offerlake.sources.fixtures import DriverTables
@@ -92,17 +93,17 @@ TRI = r"""list_distinct(flatten([[substr(concat('  ', w, ' '), i, 3) FOR i IN ra
 @check(
     "trigram_similarity_join",
     f"""
-    WITH l AS (SELECT DISTINCT concat(model, ' by ', brand) AS left_text FROM fx_variants WHERE storage_gb <= 25),
-    r AS (SELECT DISTINCT concat(brand, ' ', model) AS right_text FROM fx_variants WHERE storage_gb > 25),
+    WITH l AS (SELECT DISTINCT concat(model, ' by ', brand) AS left_text FROM fx_variants),
+    r AS (SELECT DISTINCT concat(brand, ' ', model) AS right_text FROM fx_variants),
     lg AS (SELECT left_text, {TRI.format('left_text')} AS g FROM l), rg AS (SELECT right_text, {TRI.format('right_text')} AS h FROM r),
     s AS (SELECT left_text, right_text, len(list_intersect(g, h)) AS c, len(g) AS a, len(h) AS b FROM lg, rg)
-    SELECT left_text, right_text, round(c / (a + b - c), 6) AS similarity FROM s WHERE c / (a + b - c) >= 0.6
+    SELECT left_text, right_text, round(c / (a + b - c), 6) AS similarity FROM s WHERE c / (a + b - c) >= 0.18
     """,
 )
 def trigram_similarity_join(t: DriverTables) -> DataFrame:
-    left = t.fx_variants.filter("storage_gb <= 25").select(F.concat_ws(" by ", "model", "brand").alias("text"))
-    right = t.fx_variants.filter("storage_gb > 25").select(F.concat_ws(" ", "brand", "model").alias("text"))
-    rows = matching.similarity_join(left, right, 0.6)
+    left = t.fx_variants.select(F.concat_ws(" by ", "model", "brand").alias("text"))
+    right = t.fx_variants.select(F.concat_ws(" ", "brand", "model").alias("text"))
+    rows = matching.similarity_join(left, right, MATCHING.fuzzy_threshold)
     return rows.withColumn("similarity", F.round("similarity", 6))
 
 

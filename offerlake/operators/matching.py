@@ -315,27 +315,46 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return scored.filter(F.col("similarity") >= threshold)
 
 
+def best_alike(texts: DataFrame, names: DataFrame, k: int, threshold: float, first: float = 0.6) -> DataFrame:
+    """``(left_text, variant_id, similarity)``: the best ``k`` variants of each distinct text, ties to the smaller id.
+
+    A text with ``k`` variants at the high threshold ``first`` needs no others,
+    as all of them are less alike; only the rest is joined at ``threshold``.
+    """
+
+    def found(side: DataFrame, least: float) -> DataFrame:
+        hits = similarity_join(side, names.select("text"), least).join(names.withColumnRenamed("text", "right_text"), "right_text")
+        return top_per(hits, ["left_text"], [F.col("similarity").desc(), "variant_id"], k).select("left_text", "variant_id", "similarity", "rank")
+
+    if threshold >= first:
+        return found(texts, threshold).drop("rank")
+    strong = found(texts, first)
+    full = strong.filter(F.col("rank") == k).select("left_text")
+    rest = texts.select("text").distinct().join(full.withColumnRenamed("left_text", "text"), "text", "left_anti")
+    return strong.join(full, "left_text", "left_semi").unionByName(found(rest, threshold)).drop("rank")
+
+
 def fuzzy_candidates(
     items: DataFrame, variants: DataFrame, k: int = MATCHING.fuzzy_limit, threshold: float = MATCHING.fuzzy_threshold
 ) -> DataFrame:
-    """Best ``k`` variants per item by title similarity; variants with the item's own code come first."""
+    """Best ``k`` variants per item by title similarity; variants with the item's own code come first.
+
+    The best ``k`` are found once per distinct title, so items with a common
+    title do not multiply its candidates; coded pairs are compared on their own.
+    """
     names = variants.select("variant_id", "canonical_name", "gtin", "manufacturer_sku")
-    alike = similarity_join(
-        items.select(F.col("title").alias("text")), names.select(F.col("canonical_name").alias("text")), threshold
-    )
-    by_title = (
-        items.select("item_id", F.col("title").alias("left_text"))
-        .join(alike, "left_text")
-        .join(names.select("variant_id", F.col("canonical_name").alias("right_text")), "right_text")
-        .select("item_id", "variant_id", "similarity", F.lit(2).alias("tier"))
-    )
-    by_gtin = items.select("item_id", "gtin").join(names.select("variant_id", "gtin"), "gtin")
-    by_sku = items.select("item_id", F.col("sku").alias("manufacturer_sku")).join(
-        names.select("variant_id", "manufacturer_sku"), "manufacturer_sku"
-    )
-    coded = by_gtin.select("item_id", "variant_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("tier")).unionByName(
-        by_sku.select("item_id", "variant_id", F.lit(0.0).alias("similarity"), F.lit(1).alias("tier"))
-    )
+    best = best_alike(items.select(F.col("title").alias("text")), names.select("variant_id", F.col("canonical_name").alias("text")), k, threshold)
+    by_title = items.select("item_id", F.col("title").alias("left_text")).join(best, "left_text").select(
+        "item_id", "variant_id", "similarity", F.lit(2).alias("tier")
+    )
+    pair = ["item_id", "variant_id", "title", "canonical_name"]
+    by_gtin = items.select("item_id", "title", "gtin").join(names.select("variant_id", "canonical_name", "gtin"), "gtin")
+    by_sku = items.select("item_id", "title", F.col("sku").alias("manufacturer_sku")).join(
+        names.select("variant_id", "canonical_name", "manufacturer_sku"), "manufacturer_sku"
+    )
+    near = text.trigram_similarity(text.trigrams(F.col("title")), text.trigrams(F.col("canonical_name")))
+    coded = by_gtin.select(*pair, F.lit(0).alias("tier")).unionByName(by_sku.select(*pair, F.lit(1).alias("tier")))
+    coded = coded.select("item_id", "variant_id", F.when(near >= threshold, near).otherwise(0.0).alias("similarity"), "tier")
     merged = by_title.unionByName(coded).groupBy("item_id", "variant_id").agg(
         F.min("tier").alias("tier"), F.max("similarity").alias("similarity")
     )

@@ -54,3 +54,25 @@ def test_smart_search_equals_brute_force(spark):
             if active and scores:
                 wanted[q, i] = max(*scores, similarity(q, name))
     assert got == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("k", [2, 12])
+def test_fuzzy_candidates_equal_brute_force(spark, k):
+    titles, names = phrases(7, 50, 5), phrases(8, 60, 5)
+    items = [(i, t, f"g{i}" if i % 7 == 0 else None, f"s{i}" if i % 5 == 0 else None) for i, t in enumerate(titles + titles[:10])]
+    variants = [(i, n, f"g{i * 2}" if i % 3 == 0 else None, f"s{i}" if i % 2 else None) for i, n in enumerate(names)]
+    found = matching.fuzzy_candidates(
+        spark.createDataFrame(items, "item_id int, title string, gtin string, sku string"),
+        spark.createDataFrame(variants, "variant_id int, canonical_name string, gtin string, manufacturer_sku string"), k, 0.18,
+    )
+    got = {(r.item_id, r["rank"]): (r.variant_id, round(r.similarity, 9)) for r in found.collect()}
+    wanted = {}
+    for i, title, gtin, sku in items:
+        ranked = []
+        for v, name, code, part in variants:
+            alike = similarity(title, name)
+            tier = 0 if gtin and gtin == code else 1 if sku and sku == part else 2
+            if tier < 2 or alike >= 0.18:
+                ranked.append((tier, -(alike if alike >= 0.18 else 0.0), v))
+        wanted |= {(i, at): (v, round(-s, 9)) for at, (_, s, v) in enumerate(sorted(ranked)[:k], 1)}
+    assert got == wanted
