@@ -203,6 +203,22 @@ def ordered_spec_list(t: DriverTables) -> DataFrame:
     return t.fx_variants.select("variant_id", F.array_join(listed, ";").alias("specs"))
 
 
+@check(
+    "completed_spec_list",
+    """
+    SELECT variant_id, concat('Size=', storage_gb, ';السعة باللتر=', ram_gb, ' لتر;Brand=', brand, ';اسم النسخة=', color) AS specs FROM fx_variants
+    """,
+)
+def completed_spec_list(t: DriverTables) -> DataFrame:
+    raw = F.concat_ws(
+        " | ", F.lit("Size: 0"), F.lit("اسم النسخة: old"), F.concat(F.lit("Brand: "), "brand"), F.concat(F.lit("اسم النسخة: "), "color"),
+        F.lit("Brand: other"), F.concat(F.lit("Size: "), F.col("storage_gb")),
+    )
+    read = specs.inferred_specs(F.concat(F.lit("Kettle "), F.col("ram_gb"), F.lit(" litres")))
+    listed = F.transform(specs.spec_list(raw, ["Size", "Weight", "السعة باللتر"], read), lambda s: F.concat_ws("=", s["name"], s["value"]))
+    return t.fx_variants.select("variant_id", F.array_join(listed, ";").alias("specs"))
+
+
 @check(
     "spec_maps",
     """

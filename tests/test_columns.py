@@ -152,3 +152,41 @@ def test_identity(spark):
 def test_display_name(spark):
     got = one(spark, "Samsung", lambda c: text.display_name(c, F.lit("samsung Galaxy S26"), F.lit("Galaxy S26 256GB 256GB")))
     assert got == "Samsung Galaxy S26 256GB"
+
+
+@pytest.mark.parametrize(
+    ("title", "expected"),
+    [
+        ("Washer 7.5 kg, 1200 RPM, Top-Loading", {"الحمولة بالكيلوجرام": "7.5 كجم", "سرعة العصر": "1200 لفة/دقيقة", "نوع التحميل": "تحميل علوي"}),
+        ("ثلاجة 310 لتر", {"السعة باللتر": "310 لتر"}),
+        ("Screen 50 in Mini-LED full HD", {"مقاس الشاشة": "50 بوصة", "تقنية الشاشة": "MINI-LED", "الدقة": "FULL HD"}),
+        ("5 inch ledger, 12 lamps, frontloader, hdmi", {}),
+        ("9 kg or 11 kg", {"الحمولة بالكيلوجرام": "9 كجم"}),
+        ("", {}),
+        (None, {}),
+    ],
+)
+def test_inferred_specs(spark, title, expected):
+    assert one(spark, title, specs.inferred_specs) == expected
+
+
+@pytest.mark.parametrize(
+    ("title", "storage", "ram"),
+    [
+        ("x 8gbram, disk 1.5 tb", [8.0, 1536.0], [8.0]),
+        ("رام 6 جيجا 128 جيجابايت", [6.0, 128.0], [6.0]),
+        ("program 9 of 3", [], []),
+        ("64 gb 64 gb", [64.0], []),
+    ],
+)
+def test_capacities(spark, title, storage, ram):
+    assert one(spark, title, lambda c: specs.storage_values(text.normalized_text(c))) == storage
+    assert one(spark, title, lambda c: specs.ram_values(text.normalized_text(c))) == ram
+
+
+def test_spec_list_order(spark):
+    raw = "A: 1 | اسم النسخة: first | B: 2 | A: 3 | B: 4 | اسم النسخة: last | no value"
+    inferred = F.create_map(F.lit("S"), F.lit("read"), F.lit("A"), F.lit("not this"))
+    got = one(spark, raw, lambda c: specs.spec_list(c, ["Z", "A", "S"], inferred))
+    assert [tuple(e) for e in got] == [("A", "3"), ("S", "read"), ("B", "2"), ("اسم النسخة", "last")]
+    assert one(spark, None, lambda c: specs.spec_list(c, ["A"])) == []
