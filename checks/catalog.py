@@ -75,15 +75,20 @@ def late_rebuild_ignored(t: DriverTables) -> DataFrame:
 @check(
     "audit_trail",
     """
-    WITH a AS (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier WHERE s_nationkey <> 3), z AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey = 5 THEN s_acctbal + 1 ELSE s_acctbal END AS b FROM supplier WHERE s_nationkey <> 4)
-    SELECT CAST(k AS VARCHAR) AS entity_id, CASE WHEN a.b IS NULL THEN 'insert' WHEN z.b IS NULL THEN 'delete' ELSE 'update' END AS action
+    WITH s AS (SELECT *, concat('{"s_acctbal":', CASE WHEN s_nationkey % 2 = 0 THEN CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) ELSE 'null' END, ',"s_name":"', s_name,
+        '","s_nationkey":', s_nationkey, ',"s_suppkey":', s_suppkey, '}') AS j FROM supplier),
+    a AS (SELECT s_suppkey AS k, j AS b FROM s WHERE s_nationkey <> 3),
+    z AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey = 5 THEN replace(j, 'Supplier#', 'Merchant ') ELSE j END AS b FROM s WHERE s_nationkey <> 4)
+    SELECT CAST(k AS VARCHAR) AS entity_id, CASE WHEN a.b IS NULL THEN 'insert' WHEN z.b IS NULL THEN 'delete' ELSE 'update' END AS action,
+      a.b AS before_data, z.b AS after_data
     FROM a FULL JOIN z USING (k) WHERE a.b IS DISTINCT FROM z.b
     """,
 )
 def audit_trail(t: DriverTables) -> DataFrame:
-    s = t.supplier
-    after = s.filter("s_nationkey <> 4").withColumn("s_acctbal", F.when(F.col("s_nationkey") == 5, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
-    return merge.audit_diff(s.filter("s_nationkey <> 3"), after, "s_suppkey").select("entity_id", "action")
+    s = t.supplier.withColumn("s_acctbal", F.when(F.col("s_nationkey") % 2 == 0, F.col("s_acctbal").cast("decimal(18,2)")))
+    renamed = F.when(F.col("s_nationkey") == 5, F.replace("s_name", F.lit("Supplier#"), F.lit("Merchant "))).otherwise(F.col("s_name"))
+    after = s.filter("s_nationkey <> 4").withColumn("s_name", renamed)
+    return merge.audit_diff(s.filter("s_nationkey <> 3"), after, "s_suppkey")
 
 
 def _plan_states(t: DriverTables) -> tuple[DataFrame, DataFrame]:

@@ -69,12 +69,39 @@ def deterministic_cascade(t: DriverTables) -> DataFrame:
     return matching.match_cascade(items(t), t.fx_variants)
 
 
+GATE = "CAST(floor(item_id / 10) AS BIGINT) % 5"
+
+
 @check(
     "fuzzy_gate",
-    f"SELECT {ITEM_ID} AS item_id FROM fx_items",
+    f"""
+    WITH live AS (SELECT * FROM fx_variants WHERE {LIVE}), anchor AS (SELECT DISTINCT unnest(string_split(model, ' ')) AS x FROM live)
+    SELECT {ITEM_ID} AS item_id FROM fx_items i JOIN fx_variants v ON v.variant_id = i.true_variant
+    WHERE CASE {GATE} WHEN 0 THEN i.gtin <> '' OR i.sku <> '' WHEN 1 THEN v.brand IN (SELECT brand FROM live)
+      WHEN 2 THEN i.true_variant IN (SELECT variant_id FROM fx_variants m JOIN anchor ON length(x) >= 5 AND contains(concat(' ', m.model, ' '), concat(' ', x, ' ')))
+      WHEN 3 THEN false ELSE true END
+    """,
 )
 def fuzzy_gate(t: DriverTables) -> DataFrame:
-    return matching.gate_fuzzy(items(t), matching.variant_keys(t.fx_variants)).select("item_id")
+    """Items that keep one kind of evidence each: codes, the brand, the model, none, everything."""
+    named = t.fx_variants.select(F.col("variant_id").alias("true_variant"), F.col("brand").alias("_brand"), F.col("model").alias("_model"))
+    kind = F.expr(GATE)
+    bare = lambda c: F.when((kind == 0) | (kind == 4), F.col(c))
+    title = (
+        F.when(kind == 0, "Thing on sale")
+        .when(kind == 1, F.concat(F.lit("Thing by "), "_brand"))
+        .when(kind == 2, F.concat(F.lit("On sale: "), "_model"))
+        .when(kind == 3, "Some things")
+        .otherwise(F.col("title"))
+    )
+    rows = t.fx_items.join(named, "true_variant").withColumns(
+        {
+            "title": title, "gtin": bare("gtin"), "sku": bare("sku"), "_id": F.col("item_id"),
+            "normalized_url": F.when(kind == 4, F.col("normalized_url")).otherwise("https://shop.example.com/x"),
+        }
+    )
+    unique = F.concat_ws("-", "_id", "true_variant", "store_id", F.unix_date(F.to_date("last_seen_at")))
+    return matching.gate_fuzzy(rows.withColumn("item_id", unique), matching.variant_keys(t.fx_variants)).select("item_id")
 
 
 @check(

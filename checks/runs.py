@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import check
-from offerlake.plans import history, runs, views
+from offerlake.plans import dashboard, history, runs, views
 from offerlake.sources.fixtures import AS_OF, DriverTables
 
 STREAM_NOON = "2024-01-20 12:00:00"
@@ -207,16 +207,59 @@ def review_queue(t: DriverTables) -> DataFrame:
 @check(
     "status_snapshot",
     """
-    WITH l AS (SELECT * FROM fx_tasks WHERE run_id = (SELECT max(run_id) FROM fx_tasks))
+    WITH l AS (SELECT * FROM fx_tasks WHERE run_id = (SELECT max(run_id) FROM fx_tasks)),
+    c AS (SELECT error_code, count(*) AS n FROM l WHERE status = 'failed' GROUP BY 1),
+    f AS (SELECT CAST(sum(n) AS BIGINT) AS failures, string_agg(concat(error_code, '=', n), ', ' ORDER BY n DESC, error_code) AS failure_summary,
+      CASE count(*) WHEN 0 THEN NULL WHEN 1 THEN min(error_code) ELSE 'all_mappings_failed' END AS root_cause FROM c)
     SELECT any_value(run_id) AS run_id, count(*) AS queued, count(*) FILTER (status <> 'running') AS completed, count(*) FILTER (status = 'success') AS succeeded,
-      count(*) FILTER (status = 'failed') AS failed, 'running' AS status, count(*) FILTER (status = 'failed') AS failures FROM l
+      count(*) FILTER (status = 'failed') AS failed, 'running' AS status, any_value(failures) AS failures, any_value(failure_summary) AS failure_summary,
+      any_value(root_cause) AS root_cause FROM l, f
     """,
 )
 def status_snapshot(t: DriverTables) -> DataFrame:
-    return runs.status_snapshot(t.fx_tasks).drop("failure_summary", "root_cause")
+    return runs.status_snapshot(t.fx_tasks)
 
 
-ALERT = """CASE c_custkey % 5 WHEN 0 THEN 'below_amount' WHEN 1 THEN 'at_90_day_low' WHEN 2 THEN 'back_in_stock' WHEN 3 THEN 'coupon_available' ELSE 'final_cost_drop' END"""
+BACKLOG = """CASE WHEN item_id % 5 = 0 THEN 'needs_review' WHEN item_id % 5 < 3 THEN 'pending_match' ELSE 'matched' END"""
+
+
+@check(
+    "system_dashboard",
+    f"""
+    WITH b AS (SELECT *, {BACKLOG} AS status FROM fx_items),
+    l AS (SELECT * FROM fx_tasks WHERE run_id = (SELECT max(run_id) FROM fx_tasks)),
+    e AS (SELECT error_code, count(*) AS n FROM l WHERE error_code IS NOT NULL GROUP BY 1), s AS (SELECT status, count(*) AS n FROM l GROUP BY 1)
+    SELECT (SELECT count(*) FROM fx_variants WHERE source_status <> 'catalog_provisional') AS products,
+      (SELECT count(*) FROM fx_stores) AS registry_stores, (SELECT count(*) FROM fx_stores WHERE active) AS active_stores,
+      (SELECT count(DISTINCT store_id) FROM fx_listings WHERE active) AS connected_stores, (SELECT count(*) FROM fx_listings WHERE active) AS active_mappings,
+      (SELECT count(*) FROM fx_listings WHERE active AND direct_product_url <> '') AS mappings_with_direct_url,
+      (SELECT count(*) FROM fx_listings WHERE active AND direct_url_status = 'verified') AS verified_direct_urls,
+      (SELECT count(*) FROM fx_offers) AS visible_cash_offers, (SELECT count(DISTINCT store_id) FROM fx_offers) AS visible_priced_stores,
+      (SELECT count(DISTINCT variant_id) FROM fx_offers) AS visible_priced_products,
+      (SELECT strftime(max(observed_at), '%Y-%m-%d') FROM fx_offers) AS latest_cash_update,
+      (SELECT count(*) FROM b) AS discovery_candidates, (SELECT count(*) FROM b WHERE status <> 'matched') AS review_candidates,
+      (SELECT count(*) FROM b WHERE status = 'pending_match') AS pending_match_candidates, (SELECT count(*) FROM b WHERE status = 'needs_review') AS needs_review_candidates,
+      (SELECT count(*) FROM b WHERE status = 'pending_match' AND brand IS NOT NULL) AS pending_match_with_brand,
+      (SELECT count(*) FROM b WHERE status = 'pending_match' AND brand IS NULL) AS pending_match_without_brand,
+      (SELECT count(gtin) FROM b WHERE status <> 'matched') AS review_with_gtin, (SELECT count(sku) FROM b WHERE status <> 'matched') AS review_with_sku,
+      (SELECT count(DISTINCT store_id) FROM b WHERE status <> 'matched') AS review_distinct_stores,
+      (SELECT max(run_id) FROM l) AS latest_run_id, 'running' AS latest_run_status, (SELECT count(*) FROM l) AS latest_run_queued,
+      (SELECT count(*) FROM l WHERE status <> 'running') AS latest_run_completed, (SELECT count(*) FROM l WHERE status = 'success') AS latest_run_succeeded,
+      (SELECT count(*) FROM l WHERE status = 'failed') AS latest_run_failed,
+      (SELECT string_agg(concat(status, '=', n), ',' ORDER BY status) FROM s) AS latest_run_task_states,
+      (SELECT COALESCE(string_agg(concat(error_code, '=', n), ',' ORDER BY error_code), '') FROM e) AS latest_run_error_codes
+    """,
+)
+def system_dashboard(t: DriverTables) -> DataFrame:
+    backlog = t.fx_items.withColumn("status", F.expr(BACKLOG))
+    row = dashboard.system_dashboard(t.fx_stores, t.fx_variants, t.fx_listings, t.fx_offers, t.fx_tasks, backlog)
+    shown = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    maps = {c: shown(c) for c in ("latest_run_task_states", "latest_run_error_codes")}
+    return row.withColumns({**maps, "latest_cash_update": F.date_format("latest_cash_update", "yyyy-MM-dd")})
+
+
+ALERT = """CASE c_custkey % 8 WHEN 0 THEN 'below_amount' WHEN 1 THEN 'at_90_day_low' WHEN 2 THEN 'back_in_stock' WHEN 3 THEN 'coupon_available'
+    WHEN 4 THEN 'final_cost_drop' WHEN 5 THEN 'interest_free_installment' WHEN 6 THEN 'store_available' ELSE 'weekly_wishlist_digest' END"""
 
 
 @check(
@@ -227,9 +270,11 @@ ALERT = """CASE c_custkey % 5 WHEN 0 THEN 'below_amount' WHEN 1 THEN 'at_90_day_
         CAST(arg_min(struct_pack(c := old_price), (cash_price, offer_id)).c AS DOUBLE) AS prev FROM fx_offers GROUP BY 1),
     h AS (SELECT variant_id, COALESCE(min(p) FILTER (observed_at >= {{as_of}} - INTERVAL 90 DAY), min(p)) AS low FROM
         (SELECT variant_id, observed_at, CAST(cash_price + COALESCE(shipping_cost, 0) AS DOUBLE) AS p FROM fx_observations WHERE observed_at <= {{as_of}}) GROUP BY 1),
+    f AS (SELECT variant_id, bool_or(interest_free) AS interest_free FROM fx_plans GROUP BY 1),
     r AS (SELECT c_custkey AS alert_id, c_custkey % 200 AS variant_id, {ALERT} AS rule_type, c_acctbal * 2 AS threshold_amount FROM customer)
-    SELECT alert_id, variant_id, rule_type FROM r JOIN best USING (variant_id) LEFT JOIN h USING (variant_id)
+    SELECT alert_id, variant_id, rule_type FROM r JOIN best USING (variant_id) LEFT JOIN h USING (variant_id) LEFT JOIN f USING (variant_id)
     WHERE CASE rule_type WHEN 'below_amount' THEN cost <= threshold_amount WHEN 'at_90_day_low' THEN cost <= low WHEN 'back_in_stock' THEN availability IN ('available', 'limited')
+      WHEN 'store_available' THEN availability IN ('available', 'limited') WHEN 'interest_free_installment' THEN interest_free WHEN 'weekly_wishlist_digest' THEN true
       WHEN 'coupon_available' THEN coupon_code IS NOT NULL ELSE cost < prev END
     """,
 )
@@ -239,10 +284,11 @@ def fired_alerts(t: DriverTables) -> DataFrame:
     )
     best = F.min_by(F.struct("availability", "coupon_code", "cash_price", "old_price"), F.struct("cash_price", "offer_id")).alias("b")
     offers = t.fx_offers.groupBy("variant_id").agg(best).select(
-        "variant_id", "b.availability", "b.coupon_code", F.col("b.cash_price").alias("final_cost"), F.col("b.old_price").cast("double").alias("previous_cost"), F.lit(False).alias("interest_free")
+        "variant_id", "b.availability", "b.coupon_code", F.col("b.cash_price").alias("final_cost"), F.col("b.old_price").cast("double").alias("previous_cost")
     )
+    free = t.fx_plans.groupBy("variant_id").agg(F.bool_or("interest_free").alias("interest_free"))
     past = history.price_history(t.fx_observations, AS_OF)
-    return runs.evaluate_alerts(rules, offers, past).select("alert_id", "variant_id", "rule_type")
+    return runs.evaluate_alerts(rules, offers.join(free, "variant_id", "left"), past).select("alert_id", "variant_id", "rule_type")
 
 
 @check(
