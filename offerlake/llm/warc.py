@@ -38,11 +38,13 @@ class Archives:
     """Pages as WARC 1.0 records in gzip files, equal payloads stored once.
 
     A record's capture time is ``first`` plus its page id in seconds, since the
-    pages carry none.  ``records`` bounds the records, and so the size, of a file.
+    pages carry none.  A file holds at most ``records`` records and ``payload``
+    bytes of payload; a larger page has a file of its own.
     """
 
     first: int = 1_767_225_600  #: 2026-01-01T00:00:00Z
     records: int = 4000
+    payload: int = 64 << 20
 
     def plan(self, pages: DataFrame) -> DataFrame:
         """``pages`` (``page_id``, ``url``, ``html``) with payload, digest, record type and the response it refers to.
@@ -58,7 +60,13 @@ class Archives:
         return rows.join(last, "digest").withColumn("kind", F.when(same, "response").otherwise("revisit"))
 
     def write(self, pages: DataFrame, path: str) -> None:
-        """WARC files under ``path``: Spark's text writer with the record end of WARC as line end."""
+        """WARC files under ``path``: Spark's text writer with the record end of WARC as line end.
+
+        Pages are written by size, each class with as many records a file as its
+        largest pages allow; a job per class that occurs, about six at most.  Columns
+        beyond ``page_id``, ``url`` and ``html`` are left out; an empty table
+        gives an empty folder.
+        """
         name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
         when = F.date_format(F.timestamp_seconds(F.lit(self.first) + F.coalesce(F.col("page_id"), F.lit(0)) % 2_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         body = F.when(F.col("kind") == "response", F.col("html")).otherwise("")
@@ -70,8 +78,23 @@ class Archives:
             F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
         ]
         record = F.concat(F.concat_ws("\r\n", *lines), F.lit(END), body)
-        out = self.plan(pages).select(record.alias("value")).write
-        out.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", self.records).text(path)
+        limits = self.size_limits()
+        sized = F.lit(0)
+        for limit in limits:
+            sized = sized + (F.coalesce(F.octet_length("html"), F.lit(0)) > limit).cast("int")
+        occurring = sorted(r["c"] for r in pages.select(sized.alias("c")).distinct().collect())  # one number per class
+        planned = self.plan(pages)
+        for c in occurring or [0]:
+            most = max(1, min(self.records, self.payload // limits[c])) if c < len(limits) else 1
+            out = planned.filter(sized == c).select(record.alias("value")).write.mode("append")
+            out.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+    def size_limits(self) -> list[int]:
+        """Largest payloads of the size classes, eightfold steps up to ``payload``; the class after them is larger still."""
+        limits = [max(1, self.payload // self.records)]
+        while limits[-1] < self.payload:
+            limits.append(min(limits[-1] * 8, self.payload))
+        return limits
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         """Index rows of all archives; each file is one run, sorted by URL key, time and id.

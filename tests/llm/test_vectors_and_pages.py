@@ -123,6 +123,22 @@ def test_archives(pages, tmp_path, spark):
     assert content.startswith(b"WARC/1.0\r\nWARC-Type: re") and content.endswith(b"\r\n\r\n")
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [0, 3, 90, 110, 500, 700, 3900, 4000, 4001, 9000] * 3
+    rows = [(i, f"https://a.test/{i}", None if not n else chr(97 + i % 26) * (n - 1) + str(i // 26), "x") for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").coalesce(2)
+    archives = Archives(records=40, payload=4000)
+    assert archives.size_limits() == [100, 800, 4000]
+    archives.write(pages, str(tmp_path / "w"))
+    got = archives.read(spark, str(tmp_path / "w")).select("run", "page_id", "payload_bytes", "record_type").collect()
+    assert sorted(r.page_id for r in got) == list(range(len(sizes)))
+    files = {}
+    for r in got:
+        files.setdefault(r.run, []).append(r.payload_bytes)
+    assert all(len(f) <= 40 and (sum(f) <= 4000 or len(f) == 1) for f in files.values())
+    assert any(len(f) > 2 for f in files.values())
+
+
 def test_histories_are_in_global_order(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     rows = Archives(records=20).captured(pages.repartition(5)).select("url_key", "captured_at", "page_id").collect()
