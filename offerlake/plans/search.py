@@ -83,15 +83,21 @@ def token_search(queries: DataFrame, variants: DataFrame, k: int = 16) -> DataFr
     longest = F.element_at(F.array_sort(F.transform("_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
     q = q.filter(F.size("_tokens") > 0).withColumn("_lead", F.substr(longest, F.lit(1), F.lit(3)))
     words = text.search_key(F.concat_ws(" ", "brand", "model", "canonical_name", "variant_name"))
+    # Of the variants with one text and name only the first k can be among a query's first k, so a text is cut up once.
     docs = published(variants).select("variant_id", "canonical_name", words.alias("_text"))
+    same = top_per(docs, ["_text", "canonical_name"], ["variant_id"], k, "_nth").drop("_nth")
+    lead_sizes = q.agg(F.collect_set(F.length("_lead")).alias("_sizes"))  # one row
+    texts = same.select("_text").distinct().join(F.broadcast(lead_sizes))
     pieces = F.flatten(
         F.transform(
-            F.array(F.lit(1), F.lit(2), F.lit(3)),
+            "_sizes",
             lambda n: F.transform(
                 F.sequence(F.lit(1), F.greatest(F.length("_text") - n + 1, F.lit(1))), lambda i: F.substr("_text", i, n)
             ),
         )
     )
-    index = docs.select("variant_id", "canonical_name", "_text", F.explode(F.array_distinct(pieces)).alias("_lead"))
-    hits = q.join(index, "_lead").filter(F.forall("_tokens", lambda t: F.contains(F.col("_text"), t)))
+    # Catalyst sizes the exploded pieces by the columns they come from; the hint keeps it from broadcasting them.
+    index = texts.select("_text", F.explode(F.array_distinct(pieces)).alias("_lead")).hint("merge")
+    met = index.join(q, "_lead").filter(F.forall("_tokens", lambda t: F.contains(F.col("_text"), t)))
+    hits = met.select("query_id", "_text").join(same, "_text")
     return top_per(hits, ["query_id"], ["canonical_name", "variant_id"], k).select("query_id", "rank", "variant_id", "canonical_name")

@@ -6,6 +6,23 @@ from pyspark.sql import functions as F
 
 from offerlake.functions import urls
 from offerlake.operators.extraction import normalize_import
+from offerlake.plans import search
+
+
+def test_token_search_never_broadcasts_the_pieces_of_texts(spark, tables):
+    queries = spark.createDataFrame([("1", "ring red"), ("2", "zz"), ("3", "r")], "query_id string, query string")
+    rows = search.token_search(queries, tables.fx_variants, 5)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    shown = tables.fx_variants.select("variant_id", "canonical_name", F.lower(F.concat_ws(" ", "brand", "model", "canonical_name", "variant_name")).alias("t"))
+    from offerlake.plans.browse import published
+
+    known = published(tables.fx_variants).select("variant_id").join(shown, "variant_id").collect()
+    want = []
+    for number, words in (("1", ["ring", "red"]), ("2", ["zz"]), ("3", ["r"])):
+        hits = sorted((r["canonical_name"], r["variant_id"]) for r in known if all(w in r["t"] for w in words))
+        want += [(number, rank, v) for rank, (_, v) in enumerate(hits[:5], 1)]
+    assert sorted((r["query_id"], r["rank"], r["variant_id"]) for r in rows.collect()) == want
 
 
 def test_references_are_evaluated_once(spark):
