@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlake.functions import urls
+from offerlake.operators import matching
 from offerlake.operators.extraction import normalize_import
 from offerlake.plans import history, search
 
@@ -14,6 +15,14 @@ def test_one_cent_is_a_change_in_binary_prices(spark):
     assert history.price_changes(rows).first()["change_count"] == 1
 
 
+def test_codes_keep_numbers_whole(spark):
+    rows = [("a", "/p/mx10995-495"), ("b", "/p/mx11004-4"), ("c", "/p/sm-123-456-case"), ("d", "/p/mx109954"), ("e", "/p/blackmx10995case")]
+    items = spark.createDataFrame([(i, "Thing", "https://shop.example" + u) for i, u in rows], "item_id string, title string, normalized_url string")
+    codes = spark.createDataFrame([(k,) for k in ("mx10995", "mx109954", "mx11004", "mx110044", "sm123456")], "key string")
+    found = sorted((r["item_id"], r["key"]) for r in matching.codes_in_text(items, codes).collect())
+    assert found == [("a", "mx10995"), ("b", "mx11004"), ("c", "sm123456"), ("d", "mx109954"), ("e", "mx10995")]
+
+
 def test_token_search_never_broadcasts_the_pieces_of_texts(spark, tables):
     queries = spark.createDataFrame([("1", "ring red"), ("2", "zz"), ("3", "r")], "query_id string, query string")
     rows = search.token_search(queries, tables.fx_variants, 5)
