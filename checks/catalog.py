@@ -65,7 +65,7 @@ def merged_titles(t: DriverTables) -> DataFrame:
     "SELECT offer_key, obs_id, CAST(cash_price AS DOUBLE) AS cash_price FROM fx_ranked_observations WHERE rn = 1",
 )
 def late_rebuild_ignored(t: DriverTables) -> DataFrame:
-    old, new = _halves(t)
+    old, new = (half.select("offer_key", "observed_at", "obs_id", "cash_price") for half in _halves(t))
     newest = latest_per(old.unionByName(new), ["offer_key"], ["observed_at", "obs_id"])
     stale = latest_per(old, ["offer_key"], ["observed_at", "obs_id"])
     both = newest.unionByName(stale).withColumn("at", F.struct("observed_at", "obs_id"))
