@@ -142,11 +142,36 @@ def with_row_numbers(
     return both.filter(F.col(_CARRY) == 1).drop(_CARRY, *slices.values(), *[f"_n_{a}" for a in orders])
 
 
+def with_row_numbers_by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    orders: Mapping[str, tuple[Sequence[Column | str], Column]],
+    size: str,
+    rules: SkewRules = SKEW,
+) -> DataFrame:
+    """``with_row_numbers`` for rows that carry the number of rows of their key (column ``size``).
+
+    Keys of at most ``min_rows`` rows are numbered by plain windows, which share one shuffle; only larger ones are cut.
+    """
+    few = F.coalesce(F.col(size) <= rules.min_rows, F.lit(True))
+    plain = df.filter(few)
+    for alias, (order, _) in orders.items():
+        plain = plain.withColumn(alias, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return plain.unionByName(with_row_numbers(df.filter(~few), keys, orders, rules))
+
+
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, as an aggregate (combined before the shuffle)."""
-    best = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    picked = df.groupBy(*keys).agg(best)
-    return picked.select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    """The row with the greatest ``order`` per key, as an aggregate (combined before the shuffle).
+
+    All columns travel in it whichever of them are read later, so several readers of one result share its shuffle.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    if rest and any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in rest):  # these have no order
+        best = F.max_by(F.struct(*order, *rest), F.struct(*order))
+    else:
+        best = F.max(F.struct(*order, *rest))
+    picked = df.groupBy(*keys).agg(best.alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def earliest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.config import PRICING, SKEW, WEIGHTS, PricingRules, ScoreWeights, SkewRules
 from offerlake.functions import scores
 from offerlake.functions.scores import clamp, moment
-from offerlake.operators.skew import earliest_per, with_row_numbers
+from offerlake.operators.skew import earliest_per, with_row_numbers, with_row_numbers_by_size
 from offerlake.plans.views import installment_cost
 
 # Availability classes a shopper can buy from.
@@ -105,7 +107,14 @@ def score_offers(
         F.col("lowest_90d").cast("double"),
         "sufficient_for_recommendation",
     )
-    rows = with_components(costed, as_of).join(market.join(past, "variant_id", "left"), "variant_id", "left")
+    def weighted(table: dict[str, float]) -> Column:
+        total = F.lit(0.0)
+        for name, weight in table.items():
+            total = total + F.col(f"{name}_component") * weight
+        return clamp(total)
+
+    judged = with_components(costed, as_of).withColumn("safety_score", weighted(weights.safety))
+    rows = judged.join(market.join(past, "variant_id", "left"), "variant_id", "left")
     gap = (F.col("final_cost") - F.col("_lowest")) / F.greatest(F.col("_lowest"), F.lit(1.0))
     rows = rows.withColumns(
         {
@@ -114,19 +123,12 @@ def score_offers(
         }
     )
 
-    def weighted(table: dict[str, float]) -> Column:
-        total = F.lit(0.0)
-        for name, weight in table.items():
-            total = total + F.col(f"{name}_component") * weight
-        return clamp(total)
-
     position = scores.price_position(
         F.col("final_cost"), F.col("average_90d"), F.col("lowest_90d"), F.col("sufficient_for_recommendation")
     )
     return rows.withColumns(
         {
             "decision_score": weighted(weights.decision),
-            "safety_score": weighted(weights.safety),
             "verification_status": F.when(F.col("is_clear"), "verified").otherwise("needs_review"),
             "price_position": position,
         }
@@ -149,8 +151,8 @@ def with_reasons(scored: DataFrame, limit: int = 4) -> DataFrame:
     return scored.withColumn("reasons", F.slice(reasons, 1, limit))
 
 
-def mode_orders(scored: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
-    """Ranks of every offer under the cheapest, safest and fastest orders (clear offers first)."""
+def mode_orders(scored: DataFrame, skew: SkewRules = SKEW, wanted: Sequence[str] | None = None) -> DataFrame:
+    """Ranks of every offer under the cheapest, safest and fastest orders (clear offers first), or those ``wanted``."""
     review = (~F.col("is_clear")).cast("int")
 
     def order(value: Column) -> tuple[list, Column]:
@@ -161,7 +163,9 @@ def mode_orders(scored: DataFrame, skew: SkewRules = SKEW) -> DataFrame:
         "safest_rank": order(-F.col("safety_score")),
         "fastest_rank": order(-F.col("delivery_component")),
     }
-    return with_row_numbers(scored, ["variant_id"], orders, skew)
+    if wanted is not None:
+        orders = {name: orders[name] for name in wanted}
+    return with_row_numbers_by_size(scored, ["variant_id"], orders, "market_offers", skew)
 
 
 def rank_plans(plans: DataFrame, skew: SkewRules = SKEW) -> DataFrame:

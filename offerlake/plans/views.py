@@ -203,16 +203,21 @@ def public_products(products: DataFrame, variants: DataFrame, listings: DataFram
 
 
 def cash_decision_inputs(
-    offers: DataFrame, stores: DataFrame, listings: DataFrame, quality: DataFrame | None = None
+    offers: DataFrame, stores: DataFrame, listings: DataFrame, quality: DataFrame | None = None, on: str = "mapping_id"
 ) -> DataFrame:
-    """Priced offers that are not blocked, with their cost, listing evidence and store quality."""
+    """Priced offers that are not blocked, with their cost, listing evidence and store quality.
+
+    ``on`` names the key that offers and listings share; where both are already
+    grouped by it (``offer_key`` of a projection), the join needs no shuffle.
+    Stores and their quality have one row per registered store and are broadcast, or every offer would be shuffled by its store.
+    """
     rows = (
         offers.filter(F.col("active") & F.col("cash_price").isNotNull() & (F.col("anomaly_status") != "blocked"))
-        .join(stores.select("store_id", "store_name"), "store_id")
-        .join(listings.select("mapping_id", "store_sku", "direct_url_status"), "mapping_id")
+        .join(F.broadcast(stores.select("store_id", "store_name")), "store_id")
+        .join(listings.select(on, "store_sku", "direct_url_status"), on)
         .withColumn("final_cost", final_cost())
     )
-    return rows if quality is None else rows.join(quality, "store_id", "left")
+    return rows if quality is None else rows.join(F.broadcast(quality), "store_id", "left")
 
 
 def installment_cost() -> Column:

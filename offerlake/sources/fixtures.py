@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from offerlake.operators.skew import latest_per
 from offerlake.sources.tables import load
 
 # The moment every check looks from (the ledger ends in late 2001, the event stream in January 2024).
@@ -213,14 +215,25 @@ def references(text: str) -> list[str]:
 class DriverTables:
     """Driver tables and fixture views of one folder as DataFrames."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, given: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.folder, self.given = spark, folder, given or {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in self.given:
+            return self.given[name]
         return self.sql(VIEWS[name]) if name in VIEWS else load(self.spark, self.folder, name)
 
+    def picked_by_aggregate(self) -> DriverTables:
+        """These tables with the newest observation of an offer picked by an aggregate.
+
+        Offers and listings are views over it; a query that reads them several times shuffles the ledger once.
+        """
+        obs = self.fx_observations.filter("offer_key IS NOT NULL")
+        newest = latest_per(obs, ["offer_key"], ["observed_at", "obs_id"]).withColumn("rn", F.lit(1))
+        return DriverTables(self.spark, self.folder, {"fx_ranked_observations": newest})
+
     def sql(self, text: str) -> DataFrame:
         names = set(_NAME.findall(text)) - {"as_of"}
         body = text.replace("{as_of}", f"CAST('{AS_OF}' AS TIMESTAMP_NTZ)")

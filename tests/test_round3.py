@@ -76,3 +76,36 @@ def test_history_takes_the_difference_of_binary_prices(spark):
     )
     got = {r["variant_id"]: r["change_count"] for r in history.price_history(rows, "2001-06-15 00:00:00").collect()}
     assert got == {0: int(abs(1000.02 - 1000.01) >= 0.01), 1: int(abs(100.03 - 100.02) >= 0.01)} == {0: 0, 1: 1}
+
+
+def test_a_decision_shuffles_the_ledger_once(spark, tables):
+    """Offers, listings and store quality read one pick of the newest observations; only keys are picked beside it."""
+    from checks import decisions
+
+    plan = decisions.decision_inputs(tables)
+    plan.write.format("noop").mode("overwrite").save()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "hashpartitioning(mapping_id" not in text
+    once = tables.picked_by_aggregate()
+    columns = ["obs_id", "cash_price", "availability", "anomaly_status"]
+    assert sorted(map(tuple, once.fx_offers.select(*columns).collect()), key=str) == sorted(map(tuple, tables.fx_offers.select(*columns).collect()), key=str)
+
+
+def test_the_history_of_a_decision_is_that_of_the_history(spark, tables):
+    columns = ["variant_id", "average_90d", "lowest_90d", "sufficient_for_recommendation"]
+    at = "2001-06-15 00:00:00"
+    whole = history.price_history(tables.fx_observations, at).select(*columns).collect()
+    assert sorted(map(tuple, history.decision_history(tables.fx_observations, at).select(*columns).collect())) == sorted(map(tuple, whole))
+
+
+def test_row_numbers_by_size_equal_plain_ones(spark):
+    from pyspark.sql import Window
+
+    from offerlake.config import SkewRules
+    from offerlake.operators import skew
+
+    rows = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 7).alias("k"), "id", (F.col("id") * 37 % 101).cast("double").alias("x"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    got = skew.with_row_numbers_by_size(rows, ["k"], {"r": (["x", "id"], F.col("x"))}, "n", SkewRules(min_rows=50))
+    want = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("x", "id")))
+    assert sorted(map(tuple, got.select("id", "r").collect())) == sorted(map(tuple, want.select("id", "r").collect()))
