@@ -54,6 +54,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(value: Column) -> Column:
+    """``value`` as the only row of a generator: filters on it stay behind it and do not compute it again for each mention."""
+    return F.explode(F.array(value))
+
+
 def listed(*ranges: str, out: bool = False) -> str:
     """A pattern class that names each of its ASCII characters, or with ``out`` all other ASCII characters.
 

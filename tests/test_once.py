@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from offerlake.functions import text
-from offerlake.operators import matching
+from offerlake.operators import extraction, matching
 
 
 def test_listed_classes_name_their_characters():
@@ -29,3 +29,18 @@ def test_sizes_of_a_title_are_read_once(spark):
     scored = matching.score_pairs(pairs, ratios=False)
     assert {r["item_id"]: r["score"] == -1000 for r in scored.collect()} == {"a": True, "b": False}
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_urls_of_candidates_are_made_canonical_once(spark):
+    columns = ", ".join(f"{c} string" for c in ("title", "url", "gtin", "brand", "sku", "source_method"))
+    said = [("Ring 12", u, None, None, None, "jsonld_offer") for u in ("https://A.shop.example/p/ring-12?gclid=1", "https://evil.test/p/ring-12", "https://a.shop.example/cart", None)]
+    rows = extraction.standardize_candidates(spark.createDataFrame(said, columns), F.array(F.lit("shop.example")))
+    assert [r["normalized_url"] for r in rows.collect()] == ["https://a.shop.example/p/ring-12"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("utm_") <= 2  # 28 before
+
+
+def test_entries_of_a_sitemap_are_read_once(spark):
+    body = "<urlset><url><loc>https://a.example/p/ring-12</loc></url><url><loc>https://a.example/cart</loc></url><url><x/></url></urlset>"
+    rows = extraction.explode_sitemaps(spark.createDataFrame([(1, "https://a.example/s.xml", body)], "page_id int, url string, body string"))
+    assert [tuple(r) for r in rows.collect()] == [(1, "product", "https://a.example/p/ring-12", "ring 12")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("?loc(?:") == 1
