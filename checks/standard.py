@@ -181,11 +181,9 @@ def inferred_specs(t: DriverTables) -> DataFrame:
     title = F.when(
         F.col("variant_id") % 2 == 0, F.concat(F.lit("Washer "), F.col("storage_gb"), F.lit(" kg front load"))
     ).otherwise(F.concat(F.lit("Screen "), F.col("storage_gb") + 20, F.lit(" inch 4K qled")))
-    m = specs.inferred_specs(title)
-    return t.fx_variants.select(
-        "variant_id", m["الحمولة بالكيلوجرام"].alias("load"), m["نوع التحميل"].alias("loading"), m["الدقة"].alias("resolution"),
-        m["تقنية الشاشة"].alias("panel"), m["مقاس الشاشة"].alias("screen"),
-    )
+    names = {"load": "الحمولة بالكيلوجرام", "loading": "نوع التحميل", "resolution": "الدقة", "panel": "تقنية الشاشة", "screen": "مقاس الشاشة"}
+    read = text.let(specs.inferred_specs(title), lambda m: F.struct(*[m[spec].alias(name) for name, spec in names.items()]))
+    return t.fx_variants.select("variant_id", read.alias("read")).select("variant_id", "read.*")
 
 
 @check(

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 
+import checks
 from offerlake.operators import matching as m
 
+checks.load_all()
+SMALL = "/root/testdata/sf0.001"
+
 VARIANTS = (
     "variant_id long, canonical_name string, brand string, model string, manufacturer_sku string, gtin string, storage_gb double, ram_gb double, "
     "color string, source_status string, active boolean"
@@ -28,3 +32,8 @@ def test_texts_that_say_the_same_meet_like_variants_once(spark, monkeypatch):
     found = m.match_brand_model(spark.createDataFrame(items, ITEMS), spark.createDataFrame(variants, VARIANTS))
     assert {(r["item_id"], r["variant_id"]) for r in found.collect()} == {(58, 39), (59, 7)}
     assert 0 < sum(scored) < 10
+
+
+def test_a_title_is_read_once_for_all_its_specifications(spark):
+    plan = checks.QUERIES["inferred_specs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all(") <= 2
