@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.functions import text
@@ -26,48 +26,54 @@ def smart_search(
     """Best ``k`` variants per query: document, name, alias similarity or an exact code.
 
     ``queries`` has query_id and query; ``variants`` has search_document; ``aliases``
-    has variant_id and normalized_alias.  Trigrams are matched through an
-    inverted table and counted, so a query meets only texts it shares
-    trigrams with; equal texts are compared once.
+    has variant_id and normalized_alias.  A query sees of a text only the
+    trigrams that queries have, their number and the queries it contains: texts
+    alike in these are compared once, and of the variants whose texts are all
+    alike only the first ``k`` by name can be among the best.
     """
     q = queries.withColumn("key", text.search_key(F.col("query"))).filter(F.col("key") != "")
     keys = q.select("key").distinct().withColumn("grams", text.trigrams(F.col("key")))
     live = published(variants).filter("active").select(
-        "variant_id", "search_document", F.lower("canonical_name").alias("name"),
+        "variant_id", "canonical_name", "search_document", F.lower("canonical_name").alias("name"),
         F.lower(F.coalesce("manufacturer_sku", F.lit(""))).alias("sku"), F.lower(F.coalesce("gtin", F.lit(""))).alias("gtin"),
     )
-    texts = (
-        live.select(F.col("search_document").alias("text"))
-        .unionByName(live.select(F.col("name").alias("text")))
-        .unionByName(aliases.select(F.col("normalized_alias").alias("text")))
-        .distinct()
-    )
-    texts = texts.withColumn("grams", text.trigrams(F.col("text")))
-    left = keys.select("key", F.size("grams").alias("kn"), F.explode("grams").alias("gram"))
-    right = texts.select("text", F.size("grams").alias("tn"), F.explode("grams").alias("gram"))
-    shared = left.join(right, "gram").groupBy("key", "text", "kn", "tn").agg(F.count(F.lit(1)).alias("c"))
-    alike = shared.select("key", "text", (F.col("c") / (F.col("kn") + F.col("tn") - F.col("c"))).alias("similarity"))
+    asked = keys.agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("_asked"), F.collect_list("key").alias("_keys"))  # one row
 
-    documents = alike.join(live.select("variant_id", F.col("search_document").alias("text")), "text")
-    documents = documents.filter(
-        (F.col("similarity") > threshold) | F.col("text").contains(F.col("key"))
-    ).select("key", "variant_id", "similarity", F.lit(True).alias("entry"))
-    names = alike.join(live.select("variant_id", F.col("name").alias("text")), "text").select(
-        "key", "variant_id", "similarity", F.lit(False).alias("entry")
-    )
-    named = alike.filter((F.col("similarity") > alias_threshold) | F.col("text").contains(F.col("key")))
-    by_alias = named.join(aliases.select("variant_id", F.col("normalized_alias").alias("text")), "text").select(
-        "key", "variant_id", "similarity", F.lit(True).alias("entry")
-    )
-    codes = live.select("variant_id", F.explode(F.array("sku", "gtin")).alias("key")).filter(F.col("key") != "")
-    exact = keys.select("key").join(codes, "key").select("key", "variant_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("entry"))
-    scores = (
-        documents.unionByName(names).unionByName(by_alias).unionByName(exact).groupBy("key", "variant_id").agg(
-            F.max("similarity").alias("search_score"), F.bool_or("entry").alias("entry")
-        )
+    def seen(c: Column) -> Column:
+        grams = text.trigrams(c)
+        known = text.let(grams, lambda g: F.struct(F.array_sort(F.array_intersect(g, "_asked")).alias("grams"), F.size(g).alias("n")))
+        held = F.array_sort(F.filter("_keys", lambda k: F.contains(c, k)))
+        return F.struct(known.alias("known"), F.coalesce(held, F.array().cast("array<string>")).alias("held"))
+
+    own = aliases.groupBy("variant_id").agg(F.collect_set("normalized_alias").alias("_aliases"))
+    rows = live.join(own, "variant_id", "left").join(F.broadcast(asked))
+    sights = rows.select(
+        "variant_id", "canonical_name", seen(F.col("search_document")).alias("document"), seen(F.col("name"))["known"].alias("name"),
+        F.array_sort(F.array_distinct(F.transform(F.coalesce("_aliases", F.array().cast("array<string>")), seen))).alias("others"),
+    )
+    alike = ["document", "name", "others"]
+    firsts = top_per(sights, alike, ["canonical_name", "variant_id"], k, "_nth").drop("_nth")
+    kinds = firsts.select(*alike).distinct().withColumn("kind", F.struct(*alike)).drop(*alike)
+    none = F.array().cast("array<string>")
+    each = F.concat(
+        F.array(F.struct(F.lit("document").alias("of"), F.col("kind.document.known").alias("known"), F.col("kind.document.held").alias("held"))),
+        F.array(F.struct(F.lit("name").alias("of"), F.col("kind.name").alias("known"), none.alias("held"))),
+        F.transform("kind.others", lambda o: F.struct(F.lit("alias").alias("of"), o["known"].alias("known"), o["held"].alias("held"))),
     )
-    found = scores.filter("entry").join(published(variants).filter("active").select("variant_id", "canonical_name"), "variant_id")
-    best = top_per(found, ["key"], [F.desc("search_score"), "canonical_name", "variant_id"], k)
+    parts = kinds.select("kind", F.explode(each).alias("t")).select("kind", "t.of", "t.known", "t.held")
+    left = keys.select("key", F.size("grams").alias("kn"), F.explode("grams").alias("gram"))
+    right = parts.select("known").distinct().select("known", F.explode("known.grams").alias("gram"))
+    shared = left.join(right, "gram").groupBy("key", "known", "kn").agg(F.count(F.lit(1)).alias("c"))
+    near = shared.select("key", "known", (F.col("c") / (F.col("kn") + F.col("known.n") - F.col("c"))).alias("similarity"))
+    least = F.when(F.col("of") == "document", threshold).when(F.col("of") == "alias", alias_threshold)
+    entry = F.coalesce((F.col("similarity") > least) | F.array_contains("held", F.col("key")), F.lit(False))
+    met = parts.join(near, "known").withColumn("entry", entry).filter(F.col("entry") | (F.col("of") == "name"))
+    scores = met.groupBy("kind", "key").agg(F.max("similarity").alias("search_score"), F.bool_or("entry").alias("entry")).filter("entry")
+    found = scores.join(firsts.select("variant_id", "canonical_name", F.struct(*alike).alias("kind")), "kind").select("key", "variant_id", "canonical_name", "search_score")
+    codes = live.select("variant_id", "canonical_name", F.explode(F.array("sku", "gtin")).alias("key")).filter(F.col("key") != "")
+    exact = keys.select("key").join(codes, "key").select("key", "variant_id", "canonical_name", F.lit(1.0).alias("search_score"))
+    scored = found.unionByName(exact).groupBy("key", "variant_id", "canonical_name").agg(F.max("search_score").alias("search_score"))
+    best = top_per(scored, ["key"], [F.desc("search_score"), "canonical_name", "variant_id"], k)
     rows = q.select("query_id", "key").join(best, "key")
     suggestion = F.when((F.col("rank") == 1) & (F.col("search_score") >= 0.25), F.col("canonical_name"))
     return rows.select("query_id", "rank", "variant_id", "canonical_name", "search_score", suggestion.alias("suggestion"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 import pytest
 
 import checks
 from offerlake.operators import matching as m
+from offerlake.plans import search
 
 checks.load_all()
 SMALL = "/root/testdata/sf0.001"
@@ -46,3 +46,24 @@ def test_fields_of_a_page_are_read_once(spark, query, most):
     """Filters and columns that mention a field do not each hold its patterns again (41 and 16 before)."""
     plan = checks.QUERIES[query](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract_all(") <= most
+
+
+def test_variants_alike_to_every_query_are_ranked_by_their_first_k(spark, monkeypatch):
+    """300 variants that differ in their code alone: a query ranks ``k`` of them, and the one with its code."""
+    rows = [(i, "blue gear", f"blue gear mx{i}", f"mx{i}", None, True, "catalog") for i in range(100, 400)]
+    variants = spark.createDataFrame(
+        rows, "variant_id int, canonical_name string, search_document string, manufacturer_sku string, gtin string, active boolean, source_status string"
+    )
+    aliases = spark.createDataFrame([(i, "gear") for i in range(100, 400)], "variant_id int, normalized_alias string")
+    queries = spark.createDataFrame([("a", "blue gear"), ("b", "mx317")], "query_id string, query string")
+    ranked, real = [], search.top_per
+
+    def counted(df, keys, *args, **kw):
+        if keys == ["key"]:
+            ranked.append(df.filter("key = 'blue gear'").count())
+        return real(df, keys, *args, **kw)
+
+    monkeypatch.setattr(search, "top_per", counted)
+    found = {(r["query_id"], r["rank"]): r["variant_id"] for r in search.smart_search(queries, variants, aliases, 3).collect()}
+    assert [found["a", i] for i in (1, 2, 3)] == [100, 101, 102] and found["b", 1] == 317
+    assert 0 < sum(ranked) < 60
