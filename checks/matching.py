@@ -110,7 +110,7 @@ def fuzzy_gate(t: DriverTables) -> DataFrame:
         FROM it JOIN live v ON v.variant_id = it.true_variant WHERE normalized_url LIKE '%/mx%'""",
 )
 def contained_codes(t: DriverTables) -> DataFrame:
-    return matching.match_contained(items(t), matching.variant_keys(t.fx_variants))
+    return matching.match_contained(items(t), matching.variant_keys(t.fx_variants), idle=matching.idle_codes(t.fx_variants))
 
 
 TRI = r"""list_distinct(flatten([[substr(concat('  ', w, ' '), i, 3) FOR i IN range(1, length(w) + 2)]

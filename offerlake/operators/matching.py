@@ -23,9 +23,13 @@ COLOR_WORDS = (
 # --- blocking ----------------------------------------------------------------------------
 
 
+def receives_offers() -> Column:
+    return F.coalesce("active", F.lit(True)) & (F.coalesce("source_status", F.lit("")) != "catalog_provisional")
+
+
 def matchable(variants: DataFrame) -> DataFrame:
     """Variants that may receive offers."""
-    return variants.filter(F.coalesce("active", F.lit(True)) & (F.coalesce("source_status", F.lit("")) != "catalog_provisional"))
+    return variants.filter(receives_offers())
 
 
 def variant_keys(variants: DataFrame) -> DataFrame:
@@ -43,6 +47,12 @@ def variant_keys(variants: DataFrame) -> DataFrame:
     return rows.select("variant_id", "e.kind", "e.key").filter(F.col("key").isNotNull())
 
 
+def idle_codes(variants: DataFrame) -> DataFrame:
+    """``key`` of the compact part numbers of variants that receive no offers: known, though nothing matches them."""
+    sku = text.compact_key(F.col("manufacturer_sku"))
+    return variants.filter(~receives_offers()).select(sku.alias("key")).filter(F.length("key") >= 4)
+
+
 def unique_keys(keys: DataFrame, kind: str) -> DataFrame:
     """Keys of one kind that point to exactly one variant."""
     grouped = keys.filter(F.col("kind") == kind).groupBy("key").agg(
@@ -101,18 +111,21 @@ def contained_keys(texts: DataFrame, keys: DataFrame, id_column: str = "item_id"
     return texts.select(id_column, "compact").join(hits, "compact").select(id_column, "key")
 
 
-def codes_in_text(items: DataFrame, codes: DataFrame) -> DataFrame:
+def codes_in_text(items: DataFrame, codes: DataFrame, idle: DataFrame | None = None) -> DataFrame:
     """``(item_id, key)`` for every code (``key``) inside an item's title or URL path, numbers kept whole.
 
     A code never starts or ends inside a number.  One that runs on from a number
     into the next word's number (``mx11004`` and ``4``) counts only in a text
-    that holds no code without doing so.
+    that holds no code without doing so.  Such a code may also be one of
+    ``idle``, which are known but never returned.
     """
     spaced = text.code_runs(searchable(F.col("title"), F.col("normalized_url")), " ")
     marked = F.replace(F.regexp_replace(spaced, "(?<=[0-9]) (?=[0-9])", "\n"), F.lit(" "), F.lit(""))
     texts = items.select("item_id", marked.alias("_marked"))
     distinct = texts.select("_marked").distinct().withColumn("compact", F.replace("_marked", F.lit("\n"), F.lit("")))
-    found = contained_keys(distinct, codes, "_marked")
+    codes = codes.select("key").distinct()
+    known = codes if idle is None else codes.unionByName(idle.select("key"))
+    found = contained_keys(distinct, known, "_marked")
     bound = lambda body: F.concat(
         F.when(F.col("key").rlike("^[0-9]"), "(?<![0-9])").otherwise(""), body, F.when(F.col("key").rlike("[0-9]$"), "(?![0-9])").otherwise("")
     )
@@ -120,13 +133,16 @@ def codes_in_text(items: DataFrame, codes: DataFrame) -> DataFrame:
     found = found.withColumn("_whole", F.rlike("_marked", bound(F.col("key")))).filter(F.col("_whole") | F.rlike("_marked", joined))
     any_whole = F.max("_whole").over(Window.partitionBy("_marked"))
     found = found.withColumn("_any", any_whole).filter(F.col("_whole") | ~F.col("_any"))
+    if idle is not None:
+        found = found.join(codes, "key", "left_semi")
     return texts.join(found.select("_marked", "key"), "_marked").select("item_id", "key")
 
 
-def match_sku_in_text(items: DataFrame, keys: DataFrame) -> DataFrame:
+def match_sku_in_text(items: DataFrame, keys: DataFrame, idle: DataFrame | None = None) -> DataFrame:
     """A distinctive part number inside title or URL that leaves exactly one variant."""
     skus = keys.filter((F.col("kind") == "sku") & ids.distinctive_sku(F.col("key")))
-    hits = codes_in_text(items, skus).join(skus.select("key", "variant_id"), "key")
+    others = None if idle is None else idle.filter(ids.distinctive_sku(F.col("key")))
+    hits = codes_in_text(items, skus, others).join(skus.select("key", "variant_id"), "key")
     one = hits.groupBy("item_id").agg(F.min("variant_id").alias("variant_id"), F.max("variant_id").alias("_other"))
     return one.filter(F.col("variant_id") == F.col("_other")).select(
         "item_id", "variant_id", F.lit(175.0).alias("score"), F.lit("catalog_url_manufacturer_sku").alias("method")
@@ -600,10 +616,10 @@ def decide_match(scored: DataFrame, rules: MatchRules = MATCHING) -> DataFrame:
     return scored.withColumn("decision", decision)
 
 
-def match_contained(items: DataFrame, keys: DataFrame, kind: str = "sku") -> DataFrame:
+def match_contained(items: DataFrame, keys: DataFrame, kind: str = "sku", idle: DataFrame | None = None) -> DataFrame:
     """``(item_id, key, variant_id)`` for every known code inside an item's text."""
     known = keys.filter(F.col("kind") == kind)
-    return codes_in_text(items, known).join(known.select("key", "variant_id"), "key")
+    return codes_in_text(items, known, idle).join(known.select("key", "variant_id"), "key")
 
 
 # --- identity clusters -------------------------------------------------------------------
