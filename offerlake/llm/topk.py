@@ -40,6 +40,7 @@ class ThresholdTopK:
     block_rows: int = 16384
     query_rows: int = 2048
     step: int = 128
+    tasks: int = 96  #: pairs of a block and a group of chunks, if there are as many
 
     def search(self, rows: DataFrame, queries: DataFrame) -> DataFrame:
         """``(query_id, rank, vec_id, score)`` for integer vectors ``(vec_id, v)``.
@@ -52,10 +53,13 @@ class ThresholdTopK:
         queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
         data, asked = stored(blocks(rows, self.block_rows, "block"), "blocks"), stored(blocks(queries, self.query_rows, "chunk"), "chunks")
         n, m = data.count(), asked.count()
-        tiles = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1)))).select("block", "chunk", "ids", "matrix")
-        asks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
-        asks = asks.select("block", "chunk", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-        tiles = tiles.join(asks, ["block", "chunk"]).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(self.nodes - 1))))
+        # The chunks repeat for every block and the blocks for every group of chunks, so neither side is small: both are
+        # sorted and merged, since a broadcast would collect all tiles on the driver.  A block is read once per group.
+        groups = max(1, min(m, -(-self.tasks // max(n, 1))))
+        held = data.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("block", "group", "ids", "matrix")
+        asks = asked.withColumns({"group": F.col("chunk") % groups, "block": F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))})
+        asks = asks.select("block", "group", "chunk", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+        tiles = asks.join(held.hint("merge"), ["block", "group"]).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(self.nodes - 1))))
 
         lists = tiles.mapInPandas(self._local_lists, "query_id bigint, node int, low double, row bigint, sum double")
         cutoffs = stored(self._cutoffs(lists), "cutoffs")
@@ -115,7 +119,7 @@ class ThresholdTopK:
         return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "lows": [lows.tobytes()], "cuts": [cuts.tobytes()]})
 
     def _sufficient(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Phase 2 of one node and block: all summands from the uniform threshold on."""
+        """Phase 2 of one node and block: its own components and all summands from the uniform threshold on."""
         for batch in batches:
             for row in batch.itertuples():
                 ids, q_ids, x, q = self._tile(row)
@@ -127,12 +131,16 @@ class ThresholdTopK:
                     r, c = np.nonzero(good)
                     found.append((r + i, c, parts[r, c]))
                 r, c, p = (np.concatenate(z) if found else np.zeros(0) for z in (zip(*found, strict=True) if found else [(), (), ()]))
-                yield pd.DataFrame({name: [getattr(row, name)] for name in ("block", "chunk", "node", "ids", "matrix", "q_ids", "q_matrix", "lows", "cuts")} | {"rows": [r.astype(np.int32).tobytes()], "columns": [c.astype(np.int32).tobytes()], "parts": [p.tobytes()]})
+                own = {"matrix": [x[:, at].tobytes()], "q_matrix": [q[:, at].tobytes()]}
+                yield pd.DataFrame({name: [getattr(row, name)] for name in ("block", "chunk", "node", "ids", "q_ids", "lows", "cuts")} | own | {"rows": [r.astype(np.int32).tobytes()], "columns": [c.astype(np.int32).tobytes()], "parts": [p.tobytes()]})
 
     def _resolve(self, part: pd.DataFrame) -> pd.DataFrame:
         """Phase 3 of one block: bounds from what the nodes sent, then the missing summands of those within them."""
+        part = part.sort_values("node")
         row = next(part.itertuples())
-        ids, q_ids, x, q = self._tile(row)
+        ids, q_ids = ids_of(row.ids), ids_of(row.q_ids)
+        x = np.hstack([matrix_of(s.matrix, len(ids)) for s in part.itertuples()])
+        q = np.hstack([matrix_of(s.q_matrix, len(q_ids)) for s in part.itertuples()])
         lows, cuts = np.frombuffer(row.lows).reshape(-1, self.nodes), np.frombuffer(row.cuts)
         sent = []
         for s in part.itertuples():

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from offerlake.llm.topk import ThresholdTopK
 from offerlake.operators import matching
 
 VARIANTS = "variant_id long, brand string, model string, manufacturer_sku string, gtin string, active boolean, source_status string"
@@ -22,3 +24,22 @@ def test_a_code_of_an_inactive_variant_is_no_part_of_a_longer_one(spark, how):
     catalog = spark.createDataFrame(variants, VARIANTS)
     found = getattr(matching, how)(items, matching.variant_keys(catalog), idle=matching.idle_codes(catalog))
     assert sorted((r["item_id"], r["variant_id"]) for r in found.collect()) == [("c", 90000), ("d", 7)]
+
+
+def test_top_k_never_broadcasts_tiles(spark):
+    """Chunks of queries repeat for every block of rows: neither side of their join may be collected on the driver."""
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.floor(F.rand(3) * i * 9).cast("double")).alias("v"))
+    rows = rows.localCheckpoint()
+    found = []
+    for sizes in ({}, {"block_rows": 50, "query_rows": 10}, {"block_rows": 50, "query_rows": 10, "tasks": 12}):
+        search = ThresholdTopK(k=7, **sizes).search(rows, rows.filter("vec_id % 5 = 0"))
+        found.append(sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in search.collect()))
+        plan = search._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan
+    vectors = {r["vec_id"]: r["v"] for r in rows.collect()}
+    want = []
+    for a, x in vectors.items():
+        if a % 5 == 0:
+            scored = sorted((-int(sum(p * q for p, q in zip(x, y, strict=True))), b) for b, y in vectors.items() if b != a)
+            want += [(a, rank, b, -score) for rank, (score, b) in enumerate(scored[:7], 1)]
+    assert found == [sorted(want)] * 3
