@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import checks
+from offerlake.functions import urls
 from offerlake.llm.topk import ThresholdTopK
 from offerlake.operators import extraction, matching
 
@@ -59,3 +60,20 @@ def test_page_titles_leave_the_references_that_their_sql_leaves(spark, tmp_path)
     got = [(r["page_id"], r["title"]) for r in checks.QUERIES["page_titles"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and dict(got)[0] == titles[0]
     assert spark.range(1).select(extraction.page_title(F.lit(rows[0][1]))).first()[0] == 'a "b" c'
+
+
+def test_a_url_is_matched_once(spark):
+    """Scheme, host, port, path and query of a URL come from one match (10, 12 and 7 before)."""
+    rows = spark.createDataFrame([(" HTTPS://u@Shop.example.com.:443//a//b;c/?utm_source=x&b=%C3%A9#f\n",)], "u string")
+    for read, most in ((urls.canonical_url, 1), (urls.import_url, 2), (urls.normalized_url, 1)):
+        plan = rows.select(read(F.col("u")).alias("x")).filter("x <> ''")._jdf.queryExecution().analyzed().toString()
+        assert 0 < plan.count("://([^/?#]*)") <= most
+    row = rows.select(urls.canonical_url(F.col("u")), urls.import_url(F.col("u")), urls.normalized_url(F.col("u"))).first()
+    assert list(row) == ["https://shop.example.com./a/b;c?b=%C3%A9", "https://shop.example.com/a/b;c?b=%C3%A9", "https://shop.example.com./a/b;c/?utm_source=x&b=%C3%A9".replace(";c/?", ";c?")]
+
+
+@pytest.mark.parametrize("query", ["jsonld_offers", "json_feed_candidates", "normalized_imports", "validated_imports"])
+def test_fields_of_an_object_are_looked_up_by_name(spark, query):
+    """No path below an object is walked by ``variant_get``."""
+    plan = checks.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_get(" in plan and "$.name" not in plan and "$.price" not in plan and "$.offers" not in plan
